@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, typed
+from .common import Scratch, map_texts, typed
 
 MIN_REVISIT = 100
 BLOCK_CAPTURES = 256
@@ -99,7 +99,7 @@ def open_folder(path: str):
 DIRECTORY = "archive string,first_key string,last_key string,block int,offset long,length long,captures int"
 
 
-def write_archives(pages: DataFrame, folder: str, captures: int = BLOCK_CAPTURES) -> DataFrame:
+def write_archives(work: Scratch, pages: DataFrame, folder: str, captures: int = BLOCK_CAPTURES) -> DataFrame:
     """Writes archives and index blocks into folder; returns the sparse directory, one row per block.
 
     pages: page_id, url, html (null: empty). Of equal payloads of MIN_REVISIT bytes or more the smallest page_id is the
@@ -107,21 +107,21 @@ def write_archives(pages: DataFrame, folder: str, captures: int = BLOCK_CAPTURES
     to and refers to none. Null or broken URLs sort first, under keys that begin with "!". Every attempt of a task writes
     files of its own name, and only the attempt whose rows stay is in the directory.
     """
-    html = F.coalesce("html", F.lit("")).cast("binary")
-    keyed = pages.select("page_id", "url", F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n"), "html")
-    same = keyed.where(F.col("n") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("_last")).where("first <> _last").drop("_last")
-    to = F.when(F.col("page_id") > F.col("first"), F.col("first"))
-    linked = keyed.join(same, "digest", "left").withColumn("refers_to", to)
-    schema = "page_id long,url string,html string,digest string,refers_to long,skey string"
+    spark = pages.sparkSession
+    schema = "page_id long,url string,n long,digest string,skey string,packed binary"
     names = [x.split()[0] for x in schema.split(",")]
 
-    def with_key(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([sort_key(u) for u in b.column("url").to_pylist()], pa.string())], names)
+    def prepare(batch: pa.RecordBatch) -> dict:
+        raw = [(x or "").encode() for x in batch.column("html").to_pylist()]
+        urls = batch.column("url").to_pylist()
+        return dict(zip(names, (batch.column("page_id"), batch.column("url"), [len(x) for x in raw], [hashlib.sha256(x).hexdigest() for x in raw], [sort_key(u) for u in urls], [zlib.compress(x, 1) for x in raw])))
 
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    linked = linked.select(*names[:-1]).mapInArrow(typed(with_key, schema), schema)
-    ordered = linked.repartitionByRange(n, "skey", "page_id").sortWithinPartitions("skey", "page_id")
+    # Payloads move compressed; they are made once, as both the digests' groups and the archives need them.
+    keyed = work.table("prepared", map_texts(pages, prepare, schema, ["page_id", "url", "html"], "html"), "none")
+    same = keyed.where(F.col("n") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("_last")).where("first <> _last").drop("_last")
+    linked = keyed.join(same.hint("merge"), "digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first")))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = linked.select("page_id", "url", "digest", "refers_to", "skey", "packed").repartitionByRange(n, "skey", "page_id").sortWithinPartitions("skey", "page_id")
     columns = [x.split()[0] for x in DIRECTORY.split(",")]
 
     def write(batches):
@@ -142,7 +142,7 @@ def write_archives(pages: DataFrame, folder: str, captures: int = BLOCK_CAPTURES
                     if out is None:
                         store.create_dir(path, recursive=True)
                         out, index = store.open_output_stream(f"{path}/{name}.warc.gz", compression=None), store.open_output_stream(f"{path}/{name}.idx", compression=None)
-                    member = record(p["page_id"], p["url"], (p["html"] or "").encode(), p["digest"], p["refers_to"])
+                    member = record(p["page_id"], p["url"], zlib.decompress(p["packed"]), p["digest"], p["refers_to"])
                     out.write(member)
                     entries.append((p["skey"], {"page": p["page_id"], "offset": at, "length": len(member), "digest": p["digest"]}))
                     at += len(member)
@@ -216,4 +216,4 @@ def archive_pages(spark: SparkSession, pages: DataFrame) -> tuple[DataFrame, str
     """(directory table, folder): writes everything to the shared folder."""
     work = Scratch(spark, "warc")
     folder = f"{work.path}/archives"
-    return work.table("directory", write_archives(pages, folder)), folder
+    return work.table("directory", write_archives(work, pages, folder)), folder
