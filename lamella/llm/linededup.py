@@ -99,7 +99,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone, _ = later_copies(docs, min_words)
     th = F.xxhash64("text")
     names = docs.columns
-    joined = docs.withColumn("_th", th).alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d._th") == F.col("g.th")), "left")
+    joined = docs.withColumn("_th", th).alias("d").join(gone.hint("merge").alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d._th") == F.col("g.th")), "left")
     lines = F.split("d.text", "\n")
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("g.gone")), lambda i: F.get(lines, i)), "\n")
     text = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(kept).alias("text")
