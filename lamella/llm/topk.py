@@ -8,6 +8,7 @@ add (product of the remaining norms) stays under a query's k-th best so far is d
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,22 +20,34 @@ QUERY_ROWS, BLOCK_ROWS = 512, 4096
 WARM = 256
 
 
-def pack(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """Blocks of at most rows vectors: (key, dims, ids binary, mat binary: float64, dimension-major)."""
+def packed(ids: list, vectors: list) -> tuple[int, bytes, bytes]:
+    """(dims, ids, float64 matrix, dimension-major); shorter vectors are padded with zeros."""
+    dims = max(map(len, vectors))
+    mat = np.zeros((dims, len(vectors)))
+    for i, v in enumerate(vectors):
+        mat[: len(v), i] = v
+    return dims, np.asarray(ids, np.int64).tobytes(), mat.tobytes()
+
+
+def pack(df: DataFrame, rows: int) -> DataFrame:
+    """Blocks (dims, ids, mat) of at most rows vectors, as they lie in the partitions."""
     schema = "dims int,ids binary,mat binary"
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, rows):
                 part = b.slice(at, rows)
-                vectors = [np.asarray(v, np.float64) for v in part.column("v").to_pylist()]
-                dims = max(map(len, vectors))
-                mat = np.zeros((dims, len(vectors)))
-                for i, v in enumerate(vectors):
-                    mat[: len(v), i] = v
-                yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([np.asarray(part.column("id").to_pylist(), np.int64).tobytes()]), pa.array([mat.tobytes()])], ["dims", "ids", "mat"])
+                block = packed(part.column("id").to_pylist(), [np.asarray(v, np.float64) for v in part.column("v").to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in block], ["dims", "ids", "mat"])
+
+    return df.mapInArrow(typed(run, schema), schema)
+
 
-    return df.mapInArrow(typed(run, schema), schema).withColumn(key, F.monotonically_increasing_id())
+def pack_group(table: pd.DataFrame) -> pd.DataFrame:
+    """One block of the queries of one qb."""
+    table = table.sort_values("id")
+    block = packed(table["id"].tolist(), table["v"].tolist())
+    return pd.DataFrame([(int(table["qb"].iloc[0]), *block)], columns=["qb", "dims", "ids", "mat"])
 
 
 def unpack(ids: bytes, mat: bytes, dims: int, wanted: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,12 +118,11 @@ def exact_topk(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0)
     ok = F.col("vec_id").isNotNull() & e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = df.where(ok).select(F.col("vec_id").cast("long").alias("id"), F.transform(e, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double")).alias("v"))
     rows = rows.where(F.size("v") > 0)
-    cand = pack(rows, "cb", BLOCK_ROWS)
-    # Sorted before packing: a task that runs again makes the same blocks.
-    queries = pack(rows.where(F.col("id") % every == 0).dropDuplicates(["id"]).sortWithinPartitions("id"), "qb", QUERY_ROWS).select("qb", F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"))
-    keyed = queries.withColumn("all", F.lit(1))
-    keys = keyed.groupBy("all").agg(F.collect_list("qb").alias("qbs"))  # one long per 512 queries
-    met = cand.withColumn("all", F.lit(1)).join(F.broadcast(keys), "all").select("dims", "ids", "mat", F.explode("qbs").alias("qb")).join(queries, "qb")
+    queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id"])
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
+    named = [F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat")]
+    queries = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("qb").applyInPandas(pack_group, "qb long,dims int,ids binary,mat binary").select("qb", *named)
+    met = pack(rows, BLOCK_ROWS).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(queries, "qb")
     schema = "query_id long,vec_id long,score long"
 
     def run(batches):
