@@ -68,7 +68,7 @@ def mix(df: DataFrame, weights: dict[str, int], default: int = 1, block_rows: in
     keyed = df.select("doc_id", "source", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_h"), text.alias("_t"))
     keyed = work.table("keys", keyed)
     total = keyed.count()
-    buckets = 1 << max(4, (total // 20_000).bit_length())
+    buckets = 1 << max(6, (total // 4_000).bit_length())
     bucket = F.expr(f"cast(conv(substr(_h, 1, 8), 16, 10) as bigint) * {buckets} div 4294967296")
     counts = work.table("counts", keyed.groupBy("source", bucket.alias("_b")).agg(F.count(F.lit(1)).alias("n")))
     sources = counts.groupBy("source").agg(F.sum("n").alias("rows")).withColumn("w", weight_of(weights, default))
