@@ -59,12 +59,12 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int = 8 << 2
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, fn: Callable, schema: str, columns: list[str], text: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable, schema: str, columns: list[str], text: str = "text", max_bytes: int = 8 << 20) -> DataFrame:
     """Runs fn(slice) -> dict of columns over bounded slices of the given columns. Schema is a DDL string."""
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches):
-        for part in slices(batches, text):
+        for part in slices(batches, text, max_bytes):
             out = fn(part)
             arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)]
             yield pa.RecordBatch.from_arrays(arrays, names)
@@ -89,7 +89,3 @@ def typed(fn: Callable, schema: str) -> Callable:
 def crc_mod(doc_id: Column | str, m: int) -> Column:
     """crc32 of the id written as text, mod m; null ids give null."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")) if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")), F.lit(m))
-
-
-def salted_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -22,6 +22,7 @@ SIZE, HIDDEN = 12, 8
 BUCKETS = 1 << 14
 GRAMS = 12
 THRESHOLD = 0.3
+LONG = 1 << 21
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,6 +80,18 @@ def word_inputs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, row + 1, per
 
 
+def word_inputs_in_parts(texts: list[str], part: int = 250) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_inputs of many texts in bounded memory; a word that stands in two parts has two rows."""
+    ids, rows, pers, n = [np.zeros((1, 1 + GRAMS), np.int32)], [], [], 0
+    for a in range(0, len(texts), part):
+        i, r, p = word_inputs(texts[a : a + part])
+        ids.append(i[1:].astype(np.int32))
+        rows.append((r + n).astype(np.int32))
+        pers.append(p)
+        n += len(i) - 1
+    return np.concatenate(ids), np.concatenate(rows), np.concatenate(pers)
+
+
 def windows(row: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """((windows, WINDOW) rows of word_inputs, text of each window). A text has a window every STRIDE words until one
     reaches its end; a text without words has one empty window."""
@@ -97,6 +110,14 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
+def stretches(text: str) -> list[str]:
+    """The text, or pieces of about LONG characters; each begins WINDOW words of up to 64 characters before the last one's end."""
+    if len(text) <= LONG:
+        return [text]
+    step = LONG - 64 * WINDOW
+    return [text[a : a + LONG] for a in range(0, len(text) - 64 * WINDOW, step)]
+
+
 class Network:
     """emb (BUCKETS, SIZE); per direction Wx (SIZE, 3H), Wh (H, 3H), b (3H); attention Wa (2H, H), va; output wo, bo."""
 
@@ -204,7 +225,19 @@ class Network:
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
-        return sigmoid(np.clip(self.logits(texts), -30, 30)) if texts else np.zeros(0)
+        """Texts beyond LONG characters go in stretches that overlap by a window's words, so memory stays bounded."""
+        parts, whose = [], []
+        for i, t in enumerate(texts):
+            own = stretches(t)
+            parts += own
+            whose += [i] * len(own)
+        out, at, held = np.full(len(texts), -np.inf), 0, 0
+        for k, p in enumerate(parts):
+            held += len(p)
+            if held >= LONG or k == len(parts) - 1:
+                np.maximum.at(out, whose[at : k + 1], self.logits(parts[at : k + 1]))
+                at, held = k + 1, 0
+        return sigmoid(np.clip(out, -30, 30))
 
 
 def marked_features(ids: np.ndarray, row: np.ndarray, per: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -238,7 +271,7 @@ def fit(texts: list[str], marks: list[int], epochs: int = 10, batch: int = 128,
     if not len(y) or y.min() == y.max():  # nothing to tell apart: the initial network, which scores low
         return net
     texts, y = [*texts, *[""] * 8], np.concatenate([y, np.zeros(8, np.int64)])  # no words: class 0
-    ids, row, per = word_inputs(texts)
+    ids, row, per = word_inputs_in_parts(texts)
     net.p["emb"] *= 0.1
     net.p["emb"][:, 0] = marked_features(ids, row, per, y)
     win, text = windows(row, per)
