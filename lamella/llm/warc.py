@@ -1,9 +1,9 @@
 """WARC archives with a two-level capture index.
 
-Captures are sorted by their reversed-host key (com,example)/path, so that each task writes one archive (a gzip member
-per record) whose order is the index's order. The index has two levels: blocks of captures, compressed and appended to
-one file per archive, and a sparse directory with each block's first key and byte range. A lookup picks archives by key
-range, binary-searches the directory, then the block, and reads one byte range of the archive.
+Each task writes one archive, a gzip member per record. Captures are then sorted by their reversed-host key
+(com,example)/path over the whole crawl. The index has two levels: blocks of sorted captures, compressed and appended
+to files, and a sparse directory with each block's first and last key and byte range. A lookup picks blocks by key
+range, binary-searches the directory, then the block, and reads one byte range of an archive for each capture.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts, typed
+from .common import Scratch, typed
 
 MIN_REVISIT = 100
 BLOCK_CAPTURES = 256
@@ -96,64 +96,80 @@ def open_folder(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-DIRECTORY = "archive string,first_key string,last_key string,block int,offset long,length long,captures int"
+CAPTURES = "skey string,page_id long,archive string,offset long,length long,digest string"
+DIRECTORY = "shard string,first_key string,last_key string,block int,offset long,length long,captures int"
 
 
-def write_archives(work: Scratch, pages: DataFrame, folder: str, captures: int = BLOCK_CAPTURES) -> DataFrame:
-    """Writes archives and index blocks into folder; returns the sparse directory, one row per block.
+def write_archives(pages: DataFrame, folder: str) -> DataFrame:
+    """Writes archives into folder; returns one row per capture: key, page_id, archive and byte range.
 
     pages: page_id, url, html (null: empty). Of equal payloads of MIN_REVISIT bytes or more the smallest page_id is the
     response. Fully repeated rows: every row of the smallest page_id is a response. A null page_id never is referred
     to and refers to none. Null or broken URLs sort first, under keys that begin with "!". Every attempt of a task writes
-    files of its own name, and only the attempt whose rows stay is in the directory.
+    a file of its own name, and only the attempt whose rows stay is in the index.
     """
-    spark = pages.sparkSession
-    schema = "page_id long,url string,n long,digest string,skey string,packed binary"
-    names = [x.split()[0] for x in schema.split(",")]
-
-    def prepare(batch: pa.RecordBatch) -> dict:
-        raw = [(x or "").encode() for x in batch.column("html").to_pylist()]
-        urls = batch.column("url").to_pylist()
-        return dict(zip(names, (batch.column("page_id"), batch.column("url"), [len(x) for x in raw], [hashlib.sha256(x).hexdigest() for x in raw], [sort_key(u) for u in urls], [zlib.compress(x, 1) for x in raw])))
-
-    # Payloads move compressed; they are made once, as both the digests' groups and the archives need them.
-    keyed = work.table("prepared", map_texts(pages, prepare, schema, ["page_id", "url", "html"], "html"), "none")
+    html = F.coalesce("html", F.lit("")).cast("binary")
+    keyed = pages.select("page_id", "url", F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n"), "html")
     same = keyed.where(F.col("n") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("_last")).where("first <> _last").drop("_last")
+    # The payloads' only exchange is this join's.
     linked = keyed.join(same.hint("merge"), "digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first")))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = linked.select("page_id", "url", "digest", "refers_to", "skey", "packed").repartitionByRange(n, "skey", "page_id").sortWithinPartitions("skey", "page_id")
-    columns = [x.split()[0] for x in DIRECTORY.split(",")]
+    columns = [x.split()[0] for x in CAPTURES.split(",")]
 
     def write(batches):
-        rows, entries, name, out, at, index_at = [], [], f"part-{uuid.uuid4().hex}", None, 0, 0
-
-        def flush():
-            nonlocal index_at
-            data = zlib.compress("\n".join(k + " " + json.dumps(e, separators=(",", ":")) for k, e in entries).encode(), 6)
-            index.write(data)
-            rows.append((name, entries[0][0], entries[-1][0], len(rows), index_at, len(data), len(entries)))
-            index_at += len(data)
-            entries.clear()
-
+        name, out, at = f"part-{uuid.uuid4().hex}", None, 0
         store, path = open_folder(folder)
         try:
             for b in batches:
+                rows = []
                 for p in b.to_pylist():
                     if out is None:
                         store.create_dir(path, recursive=True)
-                        out, index = store.open_output_stream(f"{path}/{name}.warc.gz", compression=None), store.open_output_stream(f"{path}/{name}.idx", compression=None)
-                    member = record(p["page_id"], p["url"], zlib.decompress(p["packed"]), p["digest"], p["refers_to"])
+                        out = store.open_output_stream(f"{path}/{name}.warc.gz", compression=None)
+                    member = record(p["page_id"], p["url"], (p["html"] or "").encode(), p["digest"], p["refers_to"])
                     out.write(member)
-                    entries.append((p["skey"], {"page": p["page_id"], "offset": at, "length": len(member), "digest": p["digest"]}))
+                    rows.append((sort_key(p["url"]), p["page_id"], name, at, len(member), p["digest"]))
                     at += len(member)
-                    if len(entries) == captures:
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], columns)
+        finally:
+            if out is not None:
+                out.close()
+
+    return linked.select("page_id", "url", "digest", "refers_to", "html").mapInArrow(typed(write, CAPTURES), CAPTURES)
+
+
+def write_index(captures: DataFrame, folder: str, size: int = BLOCK_CAPTURES) -> DataFrame:
+    """Writes the sorted index of captures into folder as blocks of size; returns the sparse directory, a row a block."""
+    n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = captures.repartitionByRange(n, "skey", "page_id").sortWithinPartitions("skey", "page_id", "archive", "offset")
+    columns = [x.split()[0] for x in DIRECTORY.split(",")]
+
+    def write(batches):
+        rows, entries, name, out, at = [], [], f"shard-{uuid.uuid4().hex}", None, 0
+        store, path = open_folder(folder)
+
+        def flush():
+            nonlocal at, out
+            if out is None:
+                store.create_dir(path, recursive=True)
+                out = store.open_output_stream(f"{path}/{name}.idx", compression=None)
+            data = zlib.compress("\n".join(k + " " + json.dumps(e, separators=(",", ":")) for k, e in entries).encode(), 6)
+            out.write(data)
+            rows.append((name, entries[0][0], entries[-1][0], len(rows), at, len(data), len(entries)))
+            at += len(data)
+            entries.clear()
+
+        try:
+            for b in batches:
+                for c in b.to_pylist():
+                    entries.append((c.pop("skey"), c))
+                    if len(entries) == size:
                         flush()
             if entries:
                 flush()
         finally:
             if out is not None:
                 out.close()
-                index.close()
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)] if rows else [pa.array([])] * len(columns), columns)
 
     return ordered.mapInArrow(typed(write, DIRECTORY), DIRECTORY)
@@ -166,8 +182,27 @@ def block_entries(data: bytes) -> list[tuple[str, dict]]:
 RECORDS = "page_id long,payload_bytes long,payload_digest string,record_type string,refers_to long,url string"
 
 
+def read_ranges(store, path: str, entries: list[dict]):
+    """(entry, bytes) of each, archive by archive in order of offset; neighbours take one read."""
+    entries = sorted(entries, key=lambda e: (e["archive"], e["offset"]))
+    i = 0
+    while i < len(entries):
+        with store.open_input_file(f"{path}/{entries[i]['archive']}.warc.gz") as f:
+            name = entries[i]["archive"]
+            while i < len(entries) and entries[i]["archive"] == name:
+                k, end = i, entries[i]["offset"] + entries[i]["length"]
+                while k + 1 < len(entries) and entries[k + 1]["archive"] == name and entries[k + 1]["offset"] == end:
+                    k += 1
+                    end += entries[k]["length"]
+                start = entries[i]["offset"]
+                data = f.read_at(end - start, start)
+                for e in entries[i : k + 1]:
+                    yield e, data[e["offset"] - start : e["offset"] - start + e["length"]]
+                i = k + 1
+
+
 def read_archives(directory: DataFrame, folder: str) -> DataFrame:
-    """Every capture, by index block: the block's captures are neighbours in the archive, so it takes one range read.
+    """Every capture, by way of the index's blocks and range reads.
 
     A response's length and digest are computed from the payload read; a revisit's are those of its record.
     """
@@ -177,38 +212,39 @@ def read_archives(directory: DataFrame, folder: str) -> DataFrame:
         store, path = open_folder(folder)
         for b in batches:
             for r in b.to_pylist():
-                with store.open_input_file(f"{path}/{r['archive']}.idx") as f:
+                with store.open_input_file(f"{path}/{r['shard']}.idx") as f:
                     entries = block_entries(f.read_at(r["length"], r["offset"]))
-                start = entries[0][1]["offset"]
-                with store.open_input_file(f"{path}/{r['archive']}.warc.gz") as f:
-                    data = f.read_at(entries[-1][1]["offset"] + entries[-1][1]["length"] - start, start)
                 rows = []
-                for _, e in entries:
-                    x = parse_record(data[e["offset"] - start : e["offset"] - start + e["length"]])
+                for e, data in read_ranges(store, path, [e for _, e in entries]):
+                    x = parse_record(data)
                     stated = x["warc-payload-digest"].removeprefix("sha256:")
                     revisit = x["warc-type"] == "revisit"
                     digest = stated if revisit else hashlib.sha256(x["payload"]).hexdigest()
                     if digest != stated or not revisit and len(x["payload"]) != x["http-length"]:
-                        raise ValueError(f"{r['archive']} at {e['offset']}: the payload isn't the one written")
+                        raise ValueError(f"{e['archive']} at {e['offset']}: the payload isn't the one written")
                     rows.append((page_of(x["warc-record-id"]), x["http-length"], digest, x["warc-type"], page_of(x["warc-refers-to"]) if revisit else None, x["warc-target-uri"]))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], columns)
 
-    return directory.repartition(int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions")), "archive", "block").mapInArrow(typed(read, RECORDS), RECORDS)
+    n = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return directory.repartition(n, "shard", "block").mapInArrow(typed(read, RECORDS), RECORDS)
 
 
 def lookup(directory: DataFrame, folder: str, url: str) -> list[dict]:
-    """Records captured under url's key. The directory's key ranges are a pushed-down filter, so only the blocks that
-    can hold the key come to the driver; then two binary searches and a range read for each capture."""
+    """Records captured under url's key.
+
+    The directory's key ranges are a pushed-down filter, so only blocks of shards near the key come to the driver; then
+    binary searches in the directory and in each block, and a range read for each capture.
+    """
     key = sort_key(url)
-    held = sorted(directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).collect(), key=lambda r: (r.archive, r.block))
+    held = sorted(directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).collect(), key=lambda r: (r.first_key, r.shard, r.block))
+    held = held[: bisect_right(held, key, key=lambda r: r.first_key)]
     store, path = open_folder(folder)
     out = []
-    for r in held[bisect_left(held, key, key=lambda x: x.last_key) if len({x.archive for x in held}) == 1 else 0 :]:
-        with store.open_input_file(f"{path}/{r.archive}.idx") as f:
+    for r in held:
+        with store.open_input_file(f"{path}/{r.shard}.idx") as f:
             entries = block_entries(f.read_at(r.length, r.offset))
         keys = [k for k, _ in entries]
-        with store.open_input_file(f"{path}/{r.archive}.warc.gz") as f:
-            out += [parse_record(f.read_at(e["length"], e["offset"])) for _, e in entries[bisect_left(keys, key) : bisect_right(keys, key)]]
+        out += [parse_record(data) for _, data in read_ranges(store, path, [e for _, e in entries[bisect_left(keys, key) : bisect_right(keys, key)]])]
     return out
 
 
@@ -216,4 +252,5 @@ def archive_pages(spark: SparkSession, pages: DataFrame) -> tuple[DataFrame, str
     """(directory table, folder): writes everything to the shared folder."""
     work = Scratch(spark, "warc")
     folder = f"{work.path}/archives"
-    return work.table("directory", write_archives(work, pages, folder)), folder
+    captures = work.table("captures", write_archives(pages, folder))
+    return work.table("directory", write_index(captures, folder)), folder
