@@ -27,7 +27,7 @@ from .common import Scratch, map_texts, typed
 WORDS = 3
 NUM, DEN = 90, 100
 SMALL = 160  # sets up to this size bring all shingles to step 2
-BUCKET_TOKENS = 1 << 20
+BUCKET_TOKENS = 1 << 17
 BROADCAST_IDS = 1 << 20
 STIR1, STIR2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 LOW48 = np.uint64((1 << 48) - 1)
@@ -137,12 +137,9 @@ def token_rows(buckets: int):
             alone = new & np.concatenate([new[1:], [True]])
             part = (tok >> np.uint64(8) & np.uint64(buckets - 1)).astype(np.int64)
             by = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[by], np.arange(buckets + 1))
+            present, begin = np.unique(part[by], return_index=True)
             rows = []
-            for k in range(buckets):
-                i = by[ends[k] : ends[k + 1]]
-                if not len(i):
-                    continue
+            for k, i in zip(present.tolist(), np.split(by, begin[1:])):
                 one, first = i[alone[i]], i[new[i] & ~alone[i]]
                 credit = np.bincount(own[i[~alone[i] & counts[i]]], minlength=len(sid))
                 has = np.flatnonzero(credit)
@@ -282,27 +279,30 @@ def links_between(work: Scratch, docs: DataFrame, sets: DataFrame, held: DataFra
     full = whole_sets(work, "star-sets", docs, sets, stars)
     links = verify(work, "star-links", stars, full)
     labels = components(work, "star", links)
-    # Rest: pairs of groups that aren't one class already, expanded to members of different classes.
-    member = work.table("labelled", member.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
-    one = member.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    posts = posts.join(one, "gid")
-    least = posts.join(hub, "h").join(one.select(F.col("gid").alias("hub"), F.col("lo").alias("hub_lo")), "hub")
-    listed = work.table("listed", least.drop("hub"))
-    rest = listed.where("lo <> hi or lo <> hub_lo")
-    both_single = f"(x.members > 1 or y.members > 1 or ({parity_fits('x', 'y')}))"
-    # Among the rest a pair would come twice: the one with the smaller gid leads.
-    lead = "(y.gid > x.gid or (y.lo = y.hi and y.lo = y.hub_lo))"
-    pairs = rest.alias("x").join(listed.alias("y"), F.expr(f"x.h = y.h and x.gid <> y.gid and {lead} and (x.lo <> x.hi or y.lo <> y.hi or x.lo <> y.lo) and {fits('x', 'y')} and {both_single}"))
-    pairs = pairs.select(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2")).distinct()
-    own = one.where("lo <> hi").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
-    pairs = work.table("pairs", pairs.unionByName(own))
-    m = member.alias("x").join(pairs, F.col("x.gid") == pairs["g1"])
-    wide = m.join(member.alias("y"), F.expr(f"g2 = y.gid and x.label <> y.label and (g1 <> g2 or x.sid < y.sid) and {parity_fits('x', 'y')}"))
-    more = work.table("more", wide.select(F.greatest("x.sid", "y.sid").alias("a"), F.least("x.sid", "y.sid").alias("b")).distinct())
+    # Rest: on each shingle, members of another class than the hub's meet all others of another class than their own.
+    member = member.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    parity = ["b0", "b1", "b2", "b3"]
+    lists = member.join(groups.select("gid", "hs"), "gid").select("sid", "label", "n", *parity, F.col("rank").alias("_first"), "hs")
+    posts = lists.select("*", F.posexplode("hs").alias("i", "h")).withColumn("rank", F.col("_first") + F.col("i")).drop("i", "_first")
+    hub = hub.join(member.select(F.col("sid").alias("hub"), F.col("label").alias("hub_label")), "hub").select("h", "hub_label")
+    listed = work.table("listed", posts.join(hub, "h").unionByName(alone(posts, hub)))
+    # A pair counts on its first common shingle, once: among the rest, that with the smaller sid leads.
+    rest = listed.where("label <> hub_label")
+    lead = "(y.label = y.hub_label or x.sid < y.sid)"
+    first = "element_at(filter(x.hs, s -> array_contains(y.hs, s)), 1) = x.h"
+    met = rest.alias("x").join(listed.alias("y"), F.expr(f"x.h = y.h and x.sid <> y.sid and x.label <> y.label and {lead} and {fits('x', 'y')} and {parity_fits('x', 'y')} and {first}"))
+    more = work.table("more", met.select(F.greatest("x.sid", "y.sid").alias("a"), F.least("x.sid", "y.sid").alias("b")).distinct())
     more_links = verify(work, "more-links", more, whole_sets(work, "more-sets", docs, sets, more))
     return components(work, "all", links.unionByName(more_links))
 
 
+def alone(posts: DataFrame, hub: DataFrame) -> DataFrame:
+    """Postings of shingles that one group alone holds, with several members: their hub is the smallest sid's class."""
+    own = posts.join(hub.select("h"), "h", "left_anti")
+    first = own.groupBy("h").agg(F.min_by("label", "sid").alias("hub_label"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    return own.join(first, "h")
+
+
 def whole_sets(work: Scratch, name: str, docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """(sid, toks) with all shingles of the sets in pairs, made again from one text each."""
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
@@ -318,7 +318,7 @@ def whole_sets(work: Scratch, name: str, docs: DataFrame, sets: DataFrame, pairs
                 out["toks"].append(narrow(s))
         return out
 
-    return work.table(name, map_texts(texts, rows, "sid long,toks binary", ["sid", "text"]).dropDuplicates(["sid"]), "snappy")
+    return work.table(name, map_texts(texts, rows, "sid long,toks binary", ["sid", "text"], max_bytes=3 << 20).dropDuplicates(["sid"]), "snappy")
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -330,7 +330,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     Linking is exact up to equal 48-bit hashes of different shingles in one pair.
     """
     work = Scratch(docs.sparkSession, "jaccard")
-    sets = work.table("sets", map_texts(docs, set_rows, SETS, ["doc_id", "text"]), "snappy")
+    sets = work.table("sets", map_texts(docs, set_rows, SETS, ["doc_id", "text"], max_bytes=3 << 20), "snappy")
     real = sets.where("n > 0 and doc_id is not null")
     tokens = real.agg(F.sum("brought")).first()[0] or 0
     columns = ["n", "n0", "brought", "tested", "toks", "b0", "b1", "b2", "b3"]
