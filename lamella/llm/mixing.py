@@ -106,10 +106,10 @@ def in_mixed_order(df: DataFrame, weights: dict[str, int], default: int = 1, blo
 
     Positions are joined by doc_id and a hash of the text; of k equal rows each takes one of their k positions.
     """
-    key = [F.col("doc_id"), F.xxhash64("text")]
-    place = mix(df, weights, default, block_rows).groupBy("doc_id", "_t").agg(F.array_sort(F.collect_list("mix_position")).alias("_places"))
-    here = df.withColumn("_t", key[1]).alias("d").join(place.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d._t") == F.col("p._t")))
-    here = here.withColumn("_n", F.row_number().over(Window.partitionBy("d.doc_id", "d._t").orderBy("d.source")))
+    # Two plain hashes as the key: the exchange of the join then serves the numbering of equal rows too.
+    place = mix(df, weights, default, block_rows).groupBy(F.xxhash64("doc_id").alias("_k"), "_t").agg(F.array_sort(F.collect_list("mix_position")).alias("_places"))
+    here = df.withColumn("_k", F.xxhash64("doc_id")).withColumn("_t", F.xxhash64("text")).join(place.hint("merge"), ["_k", "_t"])
+    here = here.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_t").orderBy("source")))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = here.select(*[F.col(f"d.`{c}`") for c in df.columns], F.element_at("_places", F.col("_n")).alias("_at"))
+    out = here.select(*[F.col(f"`{c}`") for c in df.columns], F.element_at("_places", F.col("_n")).alias("_at"))
     return out.repartitionByRange(n, "_at").sortWithinPartitions("_at").drop("_at")
