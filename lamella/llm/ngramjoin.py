@@ -1,8 +1,8 @@
 """N-gram Jaccard join: grouped prefix join over word shingles, giving each document's class of linked documents.
 
 1. Texts become sets of hashed shingles; equal sets are one from there on (`sid`, a 64-bit hash of the set).
-2. A set with a partner shares all but a tenth of its shingles with it, so sets with more shingles that stand nowhere
-   else leave. Shingles are counted in buckets of their hash; long sets bring the quarter of their shingles whose hash
+2. A set with a partner shares all but a fifth of its shingles with it (at a similarity of 0.8), so sets with more
+   shingles that stand nowhere else leave. Shingles are counted in buckets of their hash; long sets bring the quarter of their shingles whose hash
    is divisible by 4 (a share that depends on the shingle alone, so partners bring the same ones).
 3. Survivors' prefixes, rarest shingles first, are taken from the same shingles. Sets with equal size and prefix form
    one group. Groups meet on prefix shingles; pairs must pass the bounds on size and on position.
@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,6 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, map_texts, typed
 
-WORDS = 3
-NUM, DEN = 90, 100
 SMALL = 160  # sets up to this size bring all shingles to step 2
 BUCKET_TOKENS = 1 << 17
 BROADCAST_IDS = 1 << 20
@@ -34,6 +33,39 @@ STIR1, STIR2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 LOW48 = np.uint64((1 << 48) - 1)
 
 
+class Rule(NamedTuple):
+    """Shingles of so many words; two sets link when den * intersection >= num * union. Below 3/4 most sets are tested whole."""
+
+    words: int = 5
+    num: int = 80
+    den: int = 100
+
+    def missing(self, n: int) -> int:
+        """Shingles of a set of n that a partner may lack."""
+        return n - -(-n * self.num // self.den)
+
+    def missing_col(self, n: str) -> Column:
+        return F.expr(f"{n} - ({n} * {self.num} + {self.den - 1}) div {self.den}")
+
+    def needed(self, n: str, m: str) -> str:
+        """SQL: the smallest intersection of sets of n and m that links them."""
+        return f"(({n} + {m}) * {self.num} + {self.num + self.den - 1}) div {self.num + self.den}"
+
+    def fits(self, x: str, y: str) -> str:
+        """SQL on a pair of postings: bounds on size, and on what can be shared from the places on."""
+        sizes = f"{x}.n * {self.num} <= {y}.n * {self.den} and {y}.n * {self.num} <= {x}.n * {self.den}"
+        return f"{sizes} and least({x}.n - {x}.rank, {y}.n - {y}.rank) >= {self.needed(f'{x}.n', f'{y}.n')}"
+
+    def parity_fits(self, x: str, y: str) -> str:
+        """SQL: the parity cells differ in no more places than linked sets can."""
+        differ = " + ".join(f"bit_count({x}.b{k} ^ {y}.b{k})" for k in range(4))
+        return f"({differ}) <= {x}.n + {y}.n - 2 * ({self.needed(f'{x}.n', f'{y}.n')})"
+
+    def all_tested(self) -> int:
+        """Largest set that is tested on all its shingles; its partners have SMALL at most, so they bring all of theirs."""
+        return SMALL * self.num // self.den
+
+
 def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(lower-case byte, whether it separates words, a random odd number for each byte)."""
     low = np.arange(256, dtype=np.uint8)
@@ -52,7 +84,7 @@ def stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
+def shingles(texts: list[str], words: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text. Fewer words than a shingle: the whole sequence is one."""
     data = [t.encode("utf-8", "surrogatepass") + b" " for t in texts]
     b = LOW[np.frombuffer(b"".join(data), np.uint8)]
@@ -95,31 +127,26 @@ def widen(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def most_missing(n):
-    """Shingles of a set of n that a partner may lack."""
-    return n - -(-n * NUM // DEN)
-
-
 SETS = "doc_id long,sid long,n int,n0 int,brought int,tested int,toks binary,b0 long,b1 long,b2 long,b3 long"
 
 
-def set_rows(batch: pa.RecordBatch) -> dict:
+def set_rows(batch: pa.RecordBatch, rule: Rule) -> dict:
     """Of each text: sid, size n, sampled part n0, the shingles it brings (toks), how many of them its own test uses,
     and the parity of its shingles in 256 cells (the number of differing cells is at most that of differing shingles)."""
     cols: dict[str, list] = {x.split()[0]: [] for x in SETS.split(",")}
-    for doc, s in zip(batch.column("doc_id").to_pylist(), shingles([t or "" for t in batch.column("text").to_pylist()])):
+    for doc, s in zip(batch.column("doc_id").to_pylist(), shingles([t or "" for t in batch.column("text").to_pylist()], rule.words)):
         n, few = len(s), s[(s & np.uint64(3)) == 0]
-        whole = n <= SMALL or len(few) <= most_missing(n)
+        whole = n <= SMALL or len(few) <= rule.missing(n)
         bring = s if whole else few
         bits = np.packbits((np.bincount((s >> np.uint64(8) & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view("<i8").tolist()
         sid = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-        tested = n if n <= SMALL * NUM // DEN else len(few)
+        tested = n if n <= rule.all_tested() else len(few)
         for k, x in zip(cols, (doc, sid, n, len(few), len(bring), tested, narrow(bring), *bits)):
             cols[k].append(x)
     return cols
 
 
-def token_rows(buckets: int):
+def token_rows(buckets: int, rule: Rule):
     """Batches of sets to rows by bucket of the hash. A shingle that several sets of a batch hold goes out once."""
     names = ["bucket", "once", "owner", "more", "known"]
 
@@ -131,7 +158,7 @@ def token_rows(buckets: int):
             tok = widen(b"".join(b.column("toks").to_pylist()))
             sid, n = np.array(b.column("sid").to_pylist(), np.int64), np.array(b.column("n").to_pylist())
             own = np.repeat(np.arange(len(sid)), sizes)
-            counts = (n[own] <= SMALL * NUM // DEN) | ((tok & np.uint64(3)) == 0)
+            counts = (n[own] <= rule.all_tested()) | ((tok & np.uint64(3)) == 0)
             order = np.argsort(tok, kind="stable")
             tok, own, counts = tok[order], own[order], counts[order]
             new = np.concatenate([[True], tok[1:] != tok[:-1]])
@@ -164,26 +191,17 @@ def credits(table: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sid": sids.astype(np.int64), "got": got.astype(np.int64)})
 
 
-def survivors(work: Scratch, unique: DataFrame, tokens: int) -> DataFrame:
+def survivors(work: Scratch, unique: DataFrame, tokens: int, rule: Rule) -> DataFrame:
     """Sets of which a partner can exist, judged by the shingles that stand in no other set."""
     buckets = 1 << max(0, (tokens // BUCKET_TOKENS).bit_length())
-    fn, schema = token_rows(buckets)
+    fn, schema = token_rows(buckets, rule)
     rows = unique.select("sid", "n", "toks").mapInArrow(fn, schema)
     got = rows.groupBy("bucket").applyInPandas(credits, "sid long,got long").groupBy("sid").agg(F.sum("got").alias("got"))
-    kept = unique.select("sid", "n", "tested").join(got, "sid").where(F.col("tested") - F.col("got") <= most_missing_col("n"))
+    kept = unique.select("sid", "n", "tested").join(got, "sid").where(F.col("tested") - F.col("got") <= rule.missing_col("n"))
     return work.table("survivors", kept.select("sid"))
 
 
-def most_missing_col(n: str) -> Column:
-    return F.expr(f"{n} - ({n} * {NUM} + {DEN - 1}) div {DEN}")
-
-
-def overlap_needed(n: str, m: str) -> str:
-    """SQL: the smallest intersection of sets of n and m that links them (100 * i >= 90 * (n + m - i))."""
-    return f"(({n} + {m}) * {NUM} + {NUM + DEN - 1}) div {NUM + DEN}"
-
-
-def prefixes(work: Scratch, held: DataFrame) -> DataFrame:
+def prefixes(work: Scratch, held: DataFrame, rule: Rule) -> DataFrame:
     """(sid, n, h, rank): the prefix shingles that stand in two sets or more; rank is the place in the global order
     (sampled ones first, then by frequency, then by hash), counting the others too."""
     schema = "sid long,h long,rest int"
@@ -200,11 +218,11 @@ def prefixes(work: Scratch, held: DataFrame) -> DataFrame:
     per = Window.partitionBy("sid", "rest")
     alone = F.when(F.col("rest") == 0, F.col("n0")).otherwise(F.col("brought") - F.col("n0")) - F.count(F.lit(1)).over(per)
     rank = F.row_number().over(per.orderBy("df", "h")) - 1 + alone + F.when(F.col("rest") == 1, F.col("n0")).otherwise(0)
-    cut = shared.withColumn("rank", rank.cast("int")).where(F.col("rank") <= most_missing_col("n"))
+    cut = shared.withColumn("rank", rank.cast("int")).where(F.col("rank") <= rule.missing_col("n"))
     return cut.select("sid", "n", "h", "rank", "rest", "df")
 
 
-def verify(work: Scratch, name: str, pairs: DataFrame, full: DataFrame) -> DataFrame:
+def verify(work: Scratch, name: str, pairs: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) whose whole sets link."""
     schema = "a long,b long"
 
@@ -214,7 +232,7 @@ def verify(work: Scratch, name: str, pairs: DataFrame, full: DataFrame) -> DataF
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 x, y = widen(x), widen(y)
                 same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(DEN * same >= NUM * (len(x) + len(y) - same))
+                keep.append(rule.den * same >= rule.num * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     sets = full.select("sid", "toks")
@@ -245,21 +263,9 @@ def components(work: Scratch, name: str, links: DataFrame) -> DataFrame:
     return work.table(f"{name}-labels", edges.select(F.col("u").alias("sid"), F.col("v").alias("label")).unionByName(roots))
 
 
-def fits(x: str, y: str) -> str:
-    """SQL on a pair of postings: bounds on size, and on what can be shared from the places on."""
-    need = overlap_needed(f"{x}.n", f"{y}.n")
-    return f"{x}.n * {NUM} <= {y}.n * {DEN} and {y}.n * {NUM} <= {x}.n * {DEN} and least({x}.n - {x}.rank, {y}.n - {y}.rank) >= {need}"
-
-
-def parity_fits(x: str, y: str) -> str:
-    """SQL: the parity cells differ in no more places than linked sets can."""
-    differ = " + ".join(f"bit_count({x}.b{k} ^ {y}.b{k})" for k in range(4))
-    return f"({differ}) <= {x}.n + {y}.n - 2 * ({overlap_needed(f'{x}.n', f'{y}.n')})"
-
-
-def links_between(work: Scratch, docs: DataFrame, sets: DataFrame, held: DataFrame) -> DataFrame:
+def links_between(work: Scratch, docs: DataFrame, sets: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
     """(sid, label) of all linked sets."""
-    pre = prefixes(work, held)
+    pre = prefixes(work, held, rule)
     # Groups: equal size and prefix. gid is the smallest sid; the place of its first shingle is the least of its members'.
     lists = pre.groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("rest", "df", "h"))).alias("p"), F.min("rank").alias("rank"))
     lists = lists.select("sid", "n", "rank", F.xxhash64("p.h", "n").alias("grp"), F.col("p.h").alias("hs"))
@@ -273,12 +279,12 @@ def links_between(work: Scratch, docs: DataFrame, sets: DataFrame, held: DataFra
     posts = work.table("keys", groups.select("gid", "n", "members", "b0", "b1", "b2", "b3", "rank", F.posexplode("hs").alias("i", "h")).withColumn("rank", F.col("rank") + F.col("i")).drop("i"))
     hub = posts.groupBy("h").agg(F.min(F.struct("rank", "gid")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", F.col("hub.gid").alias("hub"))
     # Stars: members with their group's hub, groups with their shingles' hubs.
-    inner = member.where("sid <> gid").alias("x").join(groups.select("gid", "b0", "b1", "b2", "b3", "n").alias("y"), F.col("x.gid") == F.col("y.gid")).where(F.expr(parity_fits("x", "y"))).select(F.col("x.sid").alias("a"), F.col("y.gid").alias("b"))
+    inner = member.where("sid <> gid").alias("x").join(groups.select("gid", "b0", "b1", "b2", "b3", "n").alias("y"), F.col("x.gid") == F.col("y.gid")).where(F.expr(rule.parity_fits("x", "y"))).select(F.col("x.sid").alias("a"), F.col("y.gid").alias("b"))
     hubs = posts.join(hub, "h").where("gid <> hub").select("gid", "hub").distinct()
-    outer = hubs.join(groups.alias("x"), F.col("x.gid") == hubs["gid"]).join(groups.alias("y"), F.col("y.gid") == hubs["hub"]).where(F.expr(f"{fits('x', 'y')} and {parity_fits('x', 'y')}")).select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b"))
+    outer = hubs.join(groups.alias("x"), F.col("x.gid") == hubs["gid"]).join(groups.alias("y"), F.col("y.gid") == hubs["hub"]).where(F.expr(f"{rule.fits('x', 'y')} and {rule.parity_fits('x', 'y')}")).select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b"))
     stars = work.table("stars", inner.unionByName(outer).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    full = whole_sets(work, "star-sets", docs, sets, stars)
-    links = verify(work, "star-links", stars, full)
+    full = whole_sets(work, "star-sets", docs, sets, stars, rule)
+    links = verify(work, "star-links", stars, full, rule)
     labels = components(work, "star", links)
     # Rest: on each shingle, members of another class than the hub's meet all others of another class than their own.
     member = member.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
@@ -293,9 +299,9 @@ def links_between(work: Scratch, docs: DataFrame, sets: DataFrame, held: DataFra
     rest = listed.where("label <> hub_label")
     lead = "(y.label = y.hub_label or x.sid < y.sid)"
     first = "(x.hs is null or y.hs is null or element_at(filter(x.hs, s -> array_contains(y.hs, s)), 1) = x.h)"
-    met = rest.alias("x").join(listed.alias("y"), F.expr(f"x.h = y.h and x.sid <> y.sid and x.label <> y.label and {lead} and {fits('x', 'y')} and {parity_fits('x', 'y')} and {first}"))
+    met = rest.alias("x").join(listed.alias("y"), F.expr(f"x.h = y.h and x.sid <> y.sid and x.label <> y.label and {lead} and {rule.fits('x', 'y')} and {rule.parity_fits('x', 'y')} and {first}"))
     more = work.table("more", met.select(F.greatest("x.sid", "y.sid").alias("a"), F.least("x.sid", "y.sid").alias("b")).distinct())
-    more_links = verify(work, "more-links", more, whole_sets(work, "more-sets", docs, sets, more))
+    more_links = verify(work, "more-links", more, whole_sets(work, "more-sets", docs, sets, more, rule), rule)
     return components(work, "all", links.unionByName(more_links))
 
 
@@ -306,7 +312,7 @@ def alone(posts: DataFrame, hub: DataFrame) -> DataFrame:
     return own.join(first, "h")
 
 
-def whole_sets(work: Scratch, name: str, docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def whole_sets(work: Scratch, name: str, docs: DataFrame, sets: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """(sid, toks) with all shingles of the sets in pairs, made again from one text each."""
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     ids = work.table(f"{name}-ids", sets.join(wanted, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
@@ -315,7 +321,7 @@ def whole_sets(work: Scratch, name: str, docs: DataFrame, sets: DataFrame, pairs
 
     def rows(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"sid": [], "toks": []}
-        for sid, s in zip(batch.column("sid").to_pylist(), shingles([t or "" for t in batch.column("text").to_pylist()])):
+        for sid, s in zip(batch.column("sid").to_pylist(), shingles([t or "" for t in batch.column("text").to_pylist()], rule.words)):
             if int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) == sid:
                 out["sid"].append(sid)
                 out["toks"].append(narrow(s))
@@ -324,23 +330,24 @@ def whole_sets(work: Scratch, name: str, docs: DataFrame, sets: DataFrame, pairs
     return work.table(name, map_texts(texts, rows, "sid long,toks binary", ["sid", "text"], max_bytes=3 << 20).dropDuplicates(["sid"]), "snappy")
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
+def jaccard_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
-    Words are runs of bytes other than space and \\t..\\r, A-Z lowered; shingles are 3 words. Sets without words (null and
+    Words are runs of bytes other than space and \\t..\\r, A-Z lowered; the rule has the words of a shingle and the
+    similarity, and a text of fewer words is one shingle. Sets without words (null and
     empty texts) are linked with nothing, their component is the document itself. Rows with a null doc_id link with
     nothing and have a null component; repeated rows are one set. Same doc_id with different texts: a row each.
     Linking is exact up to equal 48-bit hashes of different shingles in one pair.
     """
     work = Scratch(docs.sparkSession, "jaccard")
-    sets = work.table("sets", map_texts(docs, set_rows, SETS, ["doc_id", "text"], max_bytes=3 << 20), "snappy")
+    sets = work.table("sets", map_texts(docs, lambda b: set_rows(b, rule), SETS, ["doc_id", "text"], max_bytes=3 << 20), "snappy")
     real = sets.where("n > 0 and doc_id is not null")
     tokens = real.agg(F.sum("brought")).first()[0] or 0
     columns = ["n", "n0", "brought", "tested", "toks", "b0", "b1", "b2", "b3"]
     unique = real.groupBy("sid").agg(F.min_by(F.struct(*columns), "doc_id").alias("x")).select("sid", "x.*")
-    alive = survivors(work, unique, tokens)
+    alive = survivors(work, unique, tokens, rule)
     held = real.join(alive, "sid").groupBy("sid").agg(F.min_by(F.struct(*columns), "doc_id").alias("x")).select("sid", "x.*")
-    labels = links_between(work, docs, real.select("sid", "doc_id"), work.table("held", held, "snappy"))
+    labels = links_between(work, docs, real.select("sid", "doc_id"), work.table("held", held, "snappy"), rule)
     named = sets.select("doc_id", "sid", F.col("n").alias("n_shingles")).join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     named = work.table("named", named)
     first = named.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))

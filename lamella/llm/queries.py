@@ -36,7 +36,7 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.jaccard_classes(read(spark, sf_dir, "documents"))
+    return ngramjoin.jaccard_classes(read(spark, sf_dir, "documents"), ngramjoin.Rule(words=3, num=90))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

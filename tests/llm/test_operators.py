@@ -112,10 +112,45 @@ def test_line_dedup(spark, docs):
 
 
 def test_jaccard(docs):
-    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.jaccard_classes(docs).collect()}
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.jaccard_classes(docs, ngramjoin.Rule(words=3, num=90)).collect()}
     assert got == {(0, 0, 0), (1, 0, 1), (2, 1, 2), (3, 10, 3), (4, 10, 3), (5, 10, 5), (6, 1, 6), (7, 2, 7), (8, 1, 8), (None, 1, None)}
 
 
+@pytest.mark.parametrize("rule", [ngramjoin.Rule(), ngramjoin.Rule(words=3, num=90)])
+def test_jaccard_brute_force(spark, rule):
+    r = np.random.default_rng(4)
+    texts = []
+    for n in (4, 12, 40, 150, 180, 260, 900):  # on both sides of the size from which shingles are sampled
+        for _ in range(4):
+            base = r.choice(60, n).astype(str).tolist()
+            for _ in range(9):
+                copy = list(base)
+                for _ in range(int(r.integers(0, 2 + n // 25))):
+                    copy[int(r.integers(n))] = "w" + str(r.integers(30))
+                texts.append(" ".join(copy[int(r.integers(0, 1 + n // 12)) :]))
+    texts += texts[::17]
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + rule.words]) for i in range(max(1, len(w) - rule.words + 1))})
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if rule.den * len(sets[i] & sets[j]) >= rule.num * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = {(i, len(s), find(i)) for i, s in enumerate(sets)}
+    assert 40 < len({x[2] for x in want}) < len(texts) - 40
+    got = ngramjoin.jaccard_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rule).collect()
+    assert {tuple(x) for x in got} == want
+
+
 def test_warc(spark):
     same = "<html>" + "x" * 100
     rows = [(2, "http://www.a.example.com/p?q=1", same), (1, "https://b.example.org", same), (3, None, "short"), (4, "http://[bad", None), (5, "http://b.example.org/", "short"), (6, "http://ü.example/é\r\nX: y", same)]
