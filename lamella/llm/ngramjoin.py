@@ -28,7 +28,7 @@ from .common import Scratch, map_texts, typed
 SMALL = 160  # sets up to this size bring all shingles to step 2
 BUCKET_TOKENS = 1 << 17
 BROADCAST_IDS = 1 << 20
-CARRIED = 24
+CARRIED = 240  # sets up to this size carry their prefix
 STIR1, STIR2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 LOW48 = np.uint64((1 << 48) - 1)
 
@@ -291,14 +291,14 @@ def links_between(work: Scratch, docs: DataFrame, sets: DataFrame, held: DataFra
     parity = ["b0", "b1", "b2", "b3"]
     lists = member.join(groups.select("gid", "hs"), "gid").select("sid", "label", "n", *parity, F.col("rank").alias("_first"), "hs")
     posts = lists.select("*", F.posexplode("hs").alias("i", "h")).withColumn("rank", F.col("_first") + F.col("i")).drop("i", "_first")
-    posts = posts.withColumn("hs", F.when(F.size("hs") <= CARRIED, F.col("hs")))
+    posts = posts.withColumn("hs", F.when(F.size("hs") <= rule.missing(CARRIED), F.col("hs")))
     hub = hub.join(member.select(F.col("sid").alias("hub"), F.col("label").alias("hub_label")), "hub").select("h", "hub_label")
     listed = work.table("listed", posts.join(hub, "h").unionByName(alone(posts, hub)))
     # Of short prefixes a pair counts on its first common shingle only (long ones would be a burden to carry, and large
     # sets share few); among the rest, that with the smaller sid leads.
     rest = listed.where("label <> hub_label")
     lead = "(y.label = y.hub_label or x.sid < y.sid)"
-    first = "(x.hs is null or y.hs is null or element_at(filter(x.hs, s -> array_contains(y.hs, s)), 1) = x.h)"
+    first = "(x.hs is null or y.hs is null or get(filter(x.hs, s -> array_contains(y.hs, s)), 0) = x.h)"
     met = rest.alias("x").join(listed.alias("y"), F.expr(f"x.h = y.h and x.sid <> y.sid and x.label <> y.label and {lead} and {rule.fits('x', 'y')} and {rule.parity_fits('x', 'y')} and {first}"))
     more = work.table("more", met.select(F.greatest("x.sid", "y.sid").alias("a"), F.least("x.sid", "y.sid").alias("b")).distinct())
     more_links = verify(work, "more-links", more, whole_sets(work, "more-sets", docs, sets, more, rule), rule)
