@@ -240,14 +240,19 @@ def verify(work: Scratch, name: str, pairs: DataFrame, full: DataFrame, rule: Ru
     return work.table(name, met.select("a", "b", "x", "y").mapInArrow(typed(run, schema), schema))
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one edge and is no other's smaller end, so that the smaller ends are the labels."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select("v", F.lit(0), F.lit(1)).toDF("x", "up", "down"))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
+
+
 def components(work: Scratch, name: str, links: DataFrame) -> DataFrame:
     """(sid, label): smallest sid that links lead to, for every sid with a link. Rounds of large and small stars, each
     written to the shared folder; a node's links are never gathered, only their smallest end."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    edges = work.table(f"{name}0", edges)
-    was = state(edges)
-    for k in range(1, 200):
+    edges, k = work.table(f"{name}0", edges), 0
+    while not are_stars(edges):
+        k += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -255,10 +260,6 @@ def components(work: Scratch, name: str, links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = work.table(f"{name}{k}", small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-        now = state(edges)
-        if now == was:
-            break
-        was = now
     roots = edges.select(F.col("v").alias("sid"), F.col("v").alias("label")).distinct()
     return work.table(f"{name}-labels", edges.select(F.col("u").alias("sid"), F.col("v").alias("label")).unionByName(roots))
 
