@@ -203,3 +203,11 @@ def test_empty_tables(docs):
     assert linededup.dedup_lines(none).count() == 0
     assert ngramjoin.jaccard_classes(none).count() == 0
     assert mixing.mix(none, {}).count() == 0
+
+
+def test_components(spark):
+    """A chain, a star, a loop and repeated links in both directions; no links give no rows."""
+    links = [(i, i + 1) for i in range(40)] + [(200, i) for i in range(201, 230)] + [(300, 300), (5, 4), (4, 5), (229, 228)]
+    out = ngramjoin.components(ngramjoin.Scratch(spark, "test"), "c", spark.createDataFrame(links, "a long, b long"))
+    assert {r["sid"]: r["label"] for r in out.collect()} == {i: 0 for i in range(41)} | {i: 200 for i in range(200, 230)}
+    assert ngramjoin.components(ngramjoin.Scratch(spark, "test"), "c", spark.createDataFrame([], "a long, b long")).count() == 0
