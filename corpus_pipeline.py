@@ -18,11 +18,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated line runs; those that lose every line go, as earlier ones hold them.
+    """Documents without later copies of repeated line runs of any length; those left without a letter or digit go, as
+    earlier ones hold their lines.
 
     n_chars is counted again for texts that changed. Null and empty texts stay.
     """
-    out = linededup.dedup_lines(docs).where("not (n_deleted > 0 and text = '')")
+    out = linededup.dedup_lines(docs, min_words=None).where((F.col("n_deleted") == 0) | F.col("text").rlike(linededup.CONTENT))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

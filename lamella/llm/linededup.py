@@ -4,19 +4,23 @@ Every text is a sequence of lines. Lines that stand once in the corpus can't be
 repeated lines are kept. Their suffixes are ranked by their first line, then by 2, 4, 8 ... lines: the pair (rank of
 the first half, rank of the second half), sorted over the whole corpus, gives the rank at the doubled depth. Suffixes
 that share their first m lines form one LCP interval, which the ranks of the two depth-2^k prefixes covering m lines
-name. A run is repeated if its words reach min_words; from each line, the shortest such run that starts there and the
-shortest that ends there are looked up. Together they cover exactly the maximal repeated runs of that many words.
+name. A run counts if its words reach min_words or, without min_words, if one of its lines has a letter or digit; from
+each line, the shortest such run that starts there and the shortest that ends there are looked up. Together they cover
+exactly the maximal repeated runs that count, at whatever depth they reach.
 Every copy but the first (by doc_id, then place) is deleted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 MIN_WORDS = 20
+CONTENT = r"[\p{L}\p{N}]"
 
 
 def words(line: Column) -> Column:
@@ -33,11 +37,11 @@ def global_ranks(work: Scratch, name: str, keys: DataFrame) -> DataFrame:
     return ranged.join(F.broadcast(starts), "_p").select("a", "b", (F.col("_start") + F.row_number().over(Window.partitionBy("_p").orderBy("a", "b"))).alias("rank"))
 
 
-def repeated_lines(work: Scratch, docs: DataFrame) -> DataFrame:
-    """(doc_id, th, pos, run, word, first line's ids a, b): lines that stand twice or more, in runs of neighbours."""
+def repeated_lines(work: Scratch, docs: DataFrame, weight: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, th, pos, run, weight w, first line's ids a, b): lines that stand twice or more, in runs of neighbours."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     # Two independent 64-bit hashes and the length stand for the line.
-    lines = lines.select("doc_id", "th", "pos", words(F.col("line")).alias("w"), F.xxhash64("line").alias("a"), F.xxhash64(F.length("line"), F.reverse("line")).alias("b"))
+    lines = lines.select("doc_id", "th", "pos", weight(F.col("line")).alias("w"), F.xxhash64("line").alias("a"), F.xxhash64(F.length("line"), F.reverse("line")).alias("b"))
     lines = work.table("lines", lines)
     often = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
     held = lines.join(often, ["a", "b"])
@@ -45,25 +49,41 @@ def repeated_lines(work: Scratch, docs: DataFrame) -> DataFrame:
     return work.table("held", held.select("doc_id", "th", "pos", "w", "a", "b", (F.col("pos") - F.row_number().over(here)).alias("run")))
 
 
-def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Scratch]:
-    """(doc_id, th, gone: sorted array of the line numbers to delete) for documents that lose lines."""
-    work = Scratch(docs.sparkSession, "lines")
-    docs = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
-    held = repeated_lines(work, docs).drop_duplicates(["doc_id", "th", "pos"])
-    ranks = global_ranks(work, "rank0", held.select("a", "b"))
-    place = ["doc_id", "th", "run"]
-    level = work.table("level0", held.join(ranks, ["a", "b"]).select(*place, "pos", "w", "rank"))
+def spans_by_words(level: DataFrame, place: list[str], min_words: int) -> DataFrame:
+    """(place, start, m): the shortest runs of min_words from each line on and up to each line."""
     by = Window.partitionBy(*place).orderBy("pos")
-    # Shortest runs of min_words from each line on and up to each line.
     # A run holds at least a word a line, so min_words lines are enough to look at.
     ahead = F.collect_list("w").over(by.rowsBetween(0, min_words - 1))
     back = F.collect_list("w").over(by.rowsBetween(-(min_words - 1), 0))
     total = lambda a: F.aggregate(a, F.struct(F.lit(0).alias("n"), F.lit(0).alias("s")), lambda acc, x: F.when(acc.s >= min_words, acc).otherwise(F.struct((acc.n + 1).alias("n"), (acc.s + x).cast("int").alias("s"))))
     spans = level.withColumn("f", total(ahead)).withColumn("g", total(F.reverse(back)))
-    spans = spans.select(*place, F.explode(F.array(
+    return spans.select(*place, F.explode(F.array(
         F.struct(F.col("pos").alias("start"), F.col("f.n").alias("m"), F.col("f.s").alias("s")),
         F.struct((F.col("pos") - F.col("g.n") + 1).alias("start"), F.col("g.n").alias("m"), F.col("g.s").alias("s")),
     )).alias("x")).select(*place, "x.start", "x.m", "x.s").where(F.col("s") >= min_words).distinct()
+
+
+def spans_by_content(level: DataFrame, place: list[str]) -> DataFrame:
+    """(place, start, m): from each line, the run to the next line with content and the run from the last one, itself included."""
+    own = F.when(F.col("w") > 0, F.col("pos"))
+    by = Window.partitionBy(*place)
+    spans = level.withColumn("f", F.min(own).over(by.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0))).withColumn("g", F.max(own).over(by.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    return spans.select(*place, F.explode(F.array(
+        F.struct(F.col("pos").alias("start"), (F.col("f") - F.col("pos") + 1).alias("m")),
+        F.struct(F.col("g").alias("start"), (F.col("pos") - F.col("g") + 1).alias("m")),
+    )).alias("x")).select(*place, "x.start", "x.m").where("m is not null").distinct()
+
+
+def later_copies(docs: DataFrame, min_words: int | None = MIN_WORDS) -> tuple[DataFrame, Scratch]:
+    """(doc_id, th, gone: sorted array of the line numbers to delete) for documents that lose lines."""
+    work = Scratch(docs.sparkSession, "lines")
+    docs = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
+    weight = words if min_words else lambda line: line.rlike(CONTENT).cast("int")
+    held = repeated_lines(work, docs, weight).drop_duplicates(["doc_id", "th", "pos"])
+    ranks = global_ranks(work, "rank0", held.select("a", "b"))
+    place = ["doc_id", "th", "run"]
+    level = work.table("level0", held.join(ranks, ["a", "b"]).select(*place, "pos", "w", "rank"))
+    spans = spans_by_words(level, place, min_words) if min_words else spans_by_content(level, place)
     spans = work.table("spans", spans.select(*place, "start", "m", F.floor(F.log2("m") + F.lit(1e-9)).cast("int").alias("k")))
     most = spans.agg(F.max("k")).first()[0]
     found = None
@@ -87,11 +107,13 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame
     return work.table("gone", gone), work
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int | None = MIN_WORDS) -> DataFrame:
     """docs (doc_id, text, any others) without later copies of repeated line runs; adds n_lines and n_deleted.
 
-    A run is consecutive lines with at least min_words words (an empty line counts one), repeated word for word anywhere
-    in the corpus, the same text included; its first place by (doc_id, place in the text) stays. Lines are cut at \\n
+    A run is consecutive lines with at least min_words words (an empty line counts one), or with min_words None any
+    consecutive lines of which one has a letter or digit, repeated word for word anywhere in the corpus, the same text
+    included; its first place by (doc_id, place in the text) stays. With None a line of neither letters nor digits goes
+    only together with the nearest line with content before or after it. Lines are cut at \\n
     and compared exactly. Null texts stay null with 0 lines; an empty text is one empty line. Fully repeated rows (same
     doc_id and text) share their fate; same doc_id with other texts are ordered by a hash of the text. A text that
     loses all its lines becomes empty; its row stays.

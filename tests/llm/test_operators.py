@@ -111,6 +111,37 @@ def test_line_dedup(spark, docs):
     assert got == brute_lines(rows, 5)
 
 
+def brute_any_runs(rows):
+    """A line goes if a run of lines around it, one of them with a letter or digit, stands earlier."""
+    first, texts, out = {}, {d: t.split("\n") for d, t in sorted(rows)}, {}
+    runs = [(d, i, j) for d, t in texts.items() for i in range(len(t)) for j in range(i, len(t)) if any(c.isalnum() for x in t[i : j + 1] for c in x)]
+    for d, i, j in runs:
+        first.setdefault(tuple(texts[d][i : j + 1]), (d, i))
+    gone = {(d, k) for d, i, j in runs if first[tuple(texts[d][i : j + 1])] != (d, i) for k in range(i, j + 1)}
+    for d, t in texts.items():
+        out[d] = "\n".join(x for k, x in enumerate(t) if (d, k) not in gone)
+    return out
+
+
+def test_line_dedup_of_any_length(spark):
+    r = np.random.default_rng(2)
+    lines = ["", "", "", "--", "a", "b c", "é", *map(str, range(40))]
+    rows = [(i, "\n".join(lines[int(k)] for k in r.integers(0, len(lines), int(r.integers(1, 25))))) for i in range(30)]
+    rows += [(30, "x" + "\n" * 19 + "y\nz"), (31, "w\nx" + "\n" * 19 + "y"), (32, "\n\n--")]
+    want = brute_any_runs(rows)
+    assert want[31] == "w" and want[32] == "\n\n--"
+    got = {x.doc_id: x.text for x in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), None).collect()}
+    assert got == want
+
+
+def test_pipeline_line_dedup_has_no_floor_of_words(spark):
+    import corpus_pipeline
+
+    rows = [(1, "one line of nine words that stands three times\nfirst"), (2, "second\none line of nine words that stands three times"), (3, "one line of nine words that stands three times\n"), (4, None), (5, "")]
+    got = corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert {x.doc_id: x.text for x in got} == {1: rows[0][1], 2: "second", 4: None, 5: ""}
+
+
 def test_jaccard(docs):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.jaccard_classes(docs, ngramjoin.Rule(words=3, num=90)).collect()}
     assert got == {(0, 0, 0), (1, 0, 1), (2, 1, 2), (3, 10, 3), (4, 10, 3), (5, 10, 5), (6, 1, 6), (7, 2, 7), (8, 1, 8), (None, 1, None)}
