@@ -41,13 +41,13 @@ def keep_one_of_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, as files in the order of the mix of sources."""
+    """All documents with their mix_position, as files in the order of the mix of sources."""
     return mixing.in_mixed_order(docs, WEIGHTS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences of all documents."""
-    return packing.pack(docs, TOKENS)
+    """Pieces of token sequences of all documents; sequences follow the mix by ranges of mix_position."""
+    return packing.pack(docs, TOKENS, order="mix_position")
 
 
 STAGES: list[tuple[str, Callable]] = [

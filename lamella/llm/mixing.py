@@ -102,7 +102,7 @@ def mix(df: DataFrame, weights: dict[str, int], default: int = 1, block_rows: in
 
 
 def in_mixed_order(df: DataFrame, weights: dict[str, int], default: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Rows of df, all columns, as files in mixed order: ranges of mix_position, each sorted.
+    """Rows of df, all columns and mix_position (replaced if there), as files in its order: ranges of it, each sorted.
 
     Positions are joined by doc_id and a hash of the text; of k equal rows each takes one of their k positions.
     """
@@ -111,5 +111,5 @@ def in_mixed_order(df: DataFrame, weights: dict[str, int], default: int = 1, blo
     here = df.withColumn("_k", F.xxhash64("doc_id")).withColumn("_t", F.xxhash64("text")).join(place.hint("merge"), ["_k", "_t"])
     here = here.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_t").orderBy("source")))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = here.select(*[F.col(f"`{c}`") for c in df.columns], F.element_at("_places", F.col("_n")).alias("_at"))
-    return out.repartitionByRange(n, "_at").sortWithinPartitions("_at").drop("_at")
+    out = here.select(*[F.col(f"`{c}`") for c in df.columns if c != "mix_position"], F.element_at("_places", F.col("_n")).alias("mix_position"))
+    return out.repartitionByRange(n, "mix_position").sortWithinPartitions("mix_position")

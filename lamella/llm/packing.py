@@ -1,4 +1,5 @@
-"""Packing token sequences: first-fit decreasing with a tournament tree of bin capacities, in randomised groups."""
+"""Packing token sequences: first-fit decreasing with a tournament tree of bin capacities, in groups: randomised, or ranges
+of a given order."""
 
 from __future__ import annotations
 
@@ -82,44 +83,62 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[n
     return bins, offsets
 
 
-PIECES = "doc_id long,start long,length long,ids_crc32 long,doc_tokens long,salt long"
+PIECES = "doc_id long,start long,length long,ids_crc32 long,doc_tokens long,place long"
 
 
-def pieces(df: DataFrame, tokens: str, length: int = LENGTH) -> DataFrame:
-    """Each document's ids and a closing id 0, cut into pieces of length ids and a rest; lengths and checksums only."""
+def pieces(df: DataFrame, tokens: str, length: int = LENGTH, order: str | None = None) -> DataFrame:
+    """Each document's ids and a closing id 0, cut into pieces of length ids and a rest; lengths and checksums only.
+
+    place is the column order, or a checksum of the text without one.
+    """
 
     def cut(batch: pa.RecordBatch) -> dict:
         encode, known = tokenizer(tokens), {}
         cols: dict[str, list] = {n.split()[0]: [] for n in PIECES.split(",")}
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+        places = batch.column(order).to_pylist() if order else [None] * batch.num_rows
+        for doc, text, place in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), places):
             text = text or ""
             if text not in known:
                 ids = np.append(encode(text), np.uint32(CLOSING)).astype("<u4")
                 known[text] = len(ids), [(a, min(length, len(ids) - a), zlib.crc32(ids[a : a + length].tobytes())) for a in range(0, len(ids), length)], zlib.crc32(text.encode())
             total, cuts, salt = known[text]
             for a, n, crc in cuts:
-                for name, x in zip(cols, (doc, a, n, crc, total, salt)):
+                for name, x in zip(cols, (doc, a, n, crc, total, place if order else salt)):
                     cols[name].append(x)
         return cols
 
-    return map_texts(df, cut, PIECES, ["doc_id", "text"])
+    return map_texts(df, cut, PIECES, ["doc_id", "text", *([order] if order else [])])
 
 
-def pack(df: DataFrame, tokens: str, length: int = LENGTH, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(df: DataFrame, tokens: str, length: int = LENGTH, group_docs: int = GROUP_DOCS, order: str | None = None) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length.
 
     Documents go to groups by a hash of id and text, about group_docs each (the number follows the count of rows), and
     each group is packed alone, so a task holds some thousand piece lengths whatever the table's size. Null texts count
     as empty and give their closing id. Repeated rows are packed as often as they stand; a null doc_id stays null.
     Sequences are padded to length, or stay as they are when their size is a power of two.
+
+    With order, a column of places from 0 without repeats or gaps, groups are ranges of group_docs places, and a group's
+    sequences are numbered by a random place among those of their pieces. So sequence_id follows the order by ranges:
+    any range of places has its documents in the sequences of the same groups.
     """
-    groups = max(1, -(-df.count() // group_docs))
-    cut = pieces(df, tokens, length).withColumn("grp", F.pmod(F.xxhash64("doc_id", "salt"), F.lit(groups)))
+    if order:
+        cut = pieces(df, tokens, length, order).withColumn("grp", F.expr(f"place div {group_docs}"))
+    else:
+        groups = max(1, -(-df.count() // group_docs))
+        cut = pieces(df, tokens, length).withColumn("grp", F.pmod(F.xxhash64("doc_id", "place"), F.lit(groups)))
     out = "doc_id long,start long,length long,ids_crc32 long,doc_tokens long,sequence_id long,offset long,padded_length long"
 
     def fill(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", na_position="last")
+        table = table.sort_values(["place", "start"] if order else ["doc_id", "start", "ids_crc32"], kind="stable", na_position="last")
+        if order:  # ties in length are broken in a fixed random order, so that a sequence's pieces come from all of the range
+            table = table.iloc[np.random.default_rng(int(table["grp"].iloc[0])).permutation(len(table))]
         bins, offsets = first_fit_decreasing(table["length"].to_numpy(), length)
+        if order:
+            of, first = np.unique(bins, return_index=True)
+            at = np.empty(len(of), np.int64)
+            at[np.argsort(table["place"].to_numpy()[first], kind="stable")] = np.arange(len(of))
+            bins = at[bins]
         used = np.bincount(bins, weights=table["length"].to_numpy()).astype(np.int64)
         whole = np.where(used & (used - 1), length, used)
         table = table.assign(sequence_id=(int(table["grp"].iloc[0]) << 32) + bins, offset=offsets, padded_length=whole[bins], doc_id=table["doc_id"].astype("Int64"))

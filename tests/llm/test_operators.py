@@ -85,6 +85,29 @@ def test_mixing(spark, docs):
         assert r.block * total // w[r.source] <= r.slot < -(-(r.block + 1) * total // w[r.source])
 
 
+def test_mix_reaches_sequences(spark, monkeypatch):
+    """Sources in the packed sequences stand as in the mixed order, range by range, and follow the weights."""
+    import corpus_pipeline
+
+    rows = [(i, f"text {i} " * (1 + i % 5), ["src0", "src2"][i % 2]) for i in range(600)] + [(7, "text 7 " * 3, "src2"), (None, "no id", "src0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    assert sorted(r.mix_position for r in mixed) == list(range(602)) and sorted(map(str, mixed)) == sorted(set(map(str, mixed)))
+    source = {r.mix_position: r.source for r in mixed}
+    assert [source[i] for i in range(64)] == ["src0"] * 64
+    place = {r.doc_id: r.mix_position for r in mixed}
+    monkeypatch.setattr(corpus_pipeline.packing.pack, "__defaults__", (64, 128, None))
+    got = corpus_pipeline.pack_sequences(spark, spark.createDataFrame(mixed, "doc_id long, text string, source string, mix_position long"), "").collect()
+    assert {r.sequence_id >> 32 for r in got} == set(range(5)) and {r.doc_id for r in got} == {x[0] for x in rows}
+    assert all(r.sequence_id >> 32 == place[r.doc_id] // 128 for r in got if r.doc_id != 7)
+    early = [source[place[r.doc_id]] for r in got if r.sequence_id >> 32 < 2 and r.doc_id != 7]
+    assert early.count("src0") > 1.5 * early.count("src2")
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in x[:i]) == o for x in map(sorted, by.values()) for i, (o, _) in enumerate(x)) and all(sum(n for _, n in x) <= 64 for x in by.values())
+
+
 def brute_lines(rows, least):
     seen, spans, gone, texts = {}, set(), {}, {}
     for d, t in sorted(rows):
