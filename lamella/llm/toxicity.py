@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, on character and word inputs, in numpy.
 
 A word's input is the sum of its own embedding and of the embeddings of its beginnings and character 4-grams, all
-hashed. Windows of WINDOW words overlap by half; the network runs over every window of a text in both directions, and
+hashed. A word beyond UNIT bytes is several overlapping ones, so that each of its characters counts, in scripts without
+blanks too. Windows of WINDOW words overlap by half; the network runs over every window of a text in both directions, and
 attention pools the states into a window's score. The text's score is that of its highest window, in training too, so
 that a short insult in a long text counts.
 """
@@ -21,6 +22,7 @@ WINDOW, STRIDE = 16, 8
 SIZE, HIDDEN = 12, 8
 BUCKETS = 1 << 14
 GRAMS = 12
+UNIT, UNIT_STEP = 12, 8
 THRESHOLD = 0.3
 LONG = 1 << 21
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -46,8 +48,10 @@ def stir(x: np.ndarray) -> np.ndarray:
 def word_inputs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids (distinct, 1 + GRAMS) of word and character inputs, index of each word's row, words of each text).
 
-    Column 0 is the whole word; the others are beginnings of 3, 4, 5 and 6 bytes and evenly taken 4-grams of the word,
-    0 where it is too short. Row 0 stands for no word.
+    Words of more than UNIT bytes are cut into units of UNIT bytes every UNIT_STEP, each of which counts as a word; the
+    units' 4-grams are all those of the word. Column 0 is the unit, for a word's first unit the whole word; the others
+    are beginnings of 3, 4, 5 and 6 bytes and the 4-grams from the second byte on, 0 where it is too short. Row 0
+    stands for no word.
     """
     data = [t.encode() + b" " for t in texts]
     b = LOW[np.frombuffer(b"".join(data), np.uint8)]
@@ -55,19 +59,22 @@ def word_inputs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     ends = np.cumsum([len(d) for d in data])
-    per = np.diff(np.concatenate([[0], np.searchsorted(start, ends)]))
+    count = np.maximum(1, -(-(end - start - UNIT) // UNIT_STEP) + 1)
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    begin, stop = np.repeat(start, count) + UNIT_STEP * nth, np.repeat(end, count)
+    per = np.diff(np.concatenate([[0], np.searchsorted(begin, ends)]))
     if not len(start):
         return np.zeros((1, 1 + GRAMS), np.int64), np.zeros(0, np.int64), per
-    n = end - start
+    n = np.minimum(stop - begin, UNIT)
     # Polynomial prefix hash over all bytes, in 64-bit words: a stretch's hash is a difference of two prefixes.
     k = np.cumprod(np.full(len(b) + 1, MIX | np.uint64(1), np.uint64))
     total = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * k[:-1])])
     inv = np.uint64(pow(int(MIX | np.uint64(1)), -1, 1 << 64))
     back = np.cumprod(np.full(len(b) + 1, inv, np.uint64))
     stretch = lambda a, z: stir((total[z] - total[a]) * back[a] + (z - a).astype(np.uint64))
-    whole = stretch(start, end)
+    whole = stretch(begin, np.where(nth == 0, stop, begin + n))
     _, first, row = np.unique(whole, return_index=True, return_inverse=True)
-    s, m = start[first], n[first]
+    s, m = begin[first], n[first]
     ids = np.zeros((len(first) + 1, 1 + GRAMS), np.int64)
     half = np.uint64(BUCKETS // 2 - 1)
     ids[1:, 0] = 1 + (whole[first] & half).astype(np.int64)
@@ -101,7 +108,7 @@ def windows(row: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = (np.cumsum(per) - per)[text]
     at = k[:, None] * STRIDE + np.arange(WINDOW)
     ok = at < per[text][:, None]
-    out = np.zeros(at.shape, np.int64)
+    out = np.zeros(at.shape, row.dtype)
     out[ok] = row[(first[:, None] + at)[ok]]
     return out, text
 

@@ -232,6 +232,21 @@ def test_classifiers(spark, docs):
     assert quality.score_quality(docs, q).count() == 11 and set(quality.keep_good(docs, q).columns) == set(docs.columns)
 
 
+def test_all_of_a_long_word_counts():
+    word = "".join(np.random.default_rng(5).choice(list("abcdefghijklmnopqrstuvwxyz"), 61))
+    for n in (5, 12, 13, 20, 21, 61):
+        ids, row, per = toxicity.word_inputs([word[:n], "a " + word[:n] + " b"])
+        assert per.tolist() == [len(row) // 2 - 1, len(row) // 2 + 1] and row[: per[0]].tolist() == row[per[0] + 1 : -1].tolist()
+        grams = {toxicity.word_inputs(["x" + word[k : k + 4]])[0][1, 5] for k in range(1, n - 3)}
+        assert grams == set(ids[1:, 5:].ravel().tolist()) - {0}
+    r = np.random.default_rng(6)
+    say = lambda n: "".join(chr(0x4E00 + int(x)) for x in r.integers(0, 150, n))
+    bad = [say(20) + "\u6076\u4eba\u72d7" + say(20) for _ in range(150)]
+    good = [say(43) for _ in range(150)]
+    s = toxicity.fit(bad[:120] + good[:120], [1] * 120 + [0] * 120).score(bad[120:] + good[120:])
+    assert (s[:30, None] > s[30:]).mean() > 0.8  # few rows to learn from, so in order rather than by the threshold
+
+
 def test_gradients():
     net = toxicity.Network(3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
