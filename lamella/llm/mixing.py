@@ -15,40 +15,53 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 BLOCK_ROWS = 64
-MAX_SOURCES = 4096
-MAX_FRAME = 16384
+PART = 256
+SPAN = 16384
 
 
 def weight_of(weights: dict[str, int], default: int) -> Column:
     if any(int(w) != w or w < 1 for w in [*weights.values(), default]):
         raise ValueError("weights are positive integers")
-    out = F.lit(default)
+    if not weights:
+        return F.lit(default).cast("long")
+    out = F
     for k, w in weights.items():
-        out = F.when(F.col("source") == k, F.lit(w)).otherwise(out)
-    return out.cast("long")
+        out = out.when(F.col("source") == k, F.lit(w))
+    return out.otherwise(F.lit(default)).cast("long")
 
 
-def frame_pattern(sources: DataFrame) -> DataFrame:
-    """(source, w) to (source, w, total, slots: array of a frame's slots that the source gets, ascending).
+def frame_pattern(work: Scratch, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source, w, rows) to members (i, source, w, rows, total) and a frame's slots (i, j, slot): the source's j-th slot.
 
-    Earliest deadline first over one frame, as a fold over its slots; a source that is done has no candidate.
+    Earliest deadline first over one frame, as a fold over its slots. Sources of equal weight have equal windows, so
+    they take turns in their order i: the fold keeps one counter a weight, and a slot costs as many steps as there are
+    weights, however many sources. Picks are gathered in parts of PART slots.
     """
-    one = sources.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none"), "source", "w"))).alias("s"), F.sum("w").alias("total"))
-    fold = F.expr("""
-        aggregate(sequence(0L, total - 1),
-          named_struct('done', array_repeat(0L, size(s)), 'out', cast(array() as array<int>)),
-          (acc, t) -> aggregate(
-            array(array_min(filter(transform(s, (x, i) -> named_struct(
-                'due', ((acc.done[i] + 1) * total + x.w - 1) div x.w,
-                'i', i,
-                'ready', acc.done[i] < x.w and (acc.done[i] * total) div x.w <= t)), c -> c.ready)).i),
-            acc, (a, pick) -> named_struct(
-              'done', transform(a.done, (d, i) -> if(i = pick, d + 1, d)),
-              'out', array_append(a.out, pick))),
+    one = sources.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none"), "source", "w", "rows"))).alias("s"), F.sum("w").alias("total"))
+    members = work.table("members", one.select("total", F.posexplode("s").alias("i", "x")).select("i", "x.source", "x.w", "x.rows", "total"))
+    classes = members.groupBy("w").agg(F.array_sort(F.collect_list("i")).alias("m"), F.max("total").alias("total"))
+    row = classes.agg(F.array_sort(F.collect_list(F.struct("w", "m", F.size("m").cast("long").alias("n")))).alias("c"), F.max("total").alias("total"))
+    fold = F.expr(f"""
+        aggregate(sequence(0L, (total - 1) div {PART}),
+          named_struct('done', array_repeat(0L, size(c)), 'out', cast(array() as array<array<int>>)),
+          (acc, q) -> aggregate(
+            array(aggregate(sequence(q * {PART}, least(total, (q + 1) * {PART}) - 1),
+              named_struct('done', acc.done, 'out', cast(array() as array<int>)),
+              (part, t) -> aggregate(
+                array(array_min(filter(transform(c, (x, k) -> named_struct(
+                    'due', ((part.done[k] div x.n + 1) * total + x.w - 1) div x.w,
+                    'i', x.m[cast(part.done[k] % x.n as int)],
+                    'k', k,
+                    'ready', part.done[k] < x.w * x.n and ((part.done[k] div x.n) * total) div x.w <= t)), y -> y.ready))),
+                part, (p, pick) -> named_struct(
+                  'done', transform(p.done, (d, k) -> if(k = pick.k, d + 1, d)),
+                  'out', array_append(p.out, pick.i))))),
+            acc, (all, part) -> named_struct('done', part.done, 'out', array_append(all.out, part.out))),
           acc -> acc.out)""")
-    return one.withColumn("picked", fold).select("total", F.posexplode("s").alias("i", "x"), "picked").select(
-        "x.source", "x.w", "total", F.expr("filter(transform(picked, (p, t) -> if(p = i, cast(t as long), -1L)), t -> t >= 0)").alias("slots")
-    )
+    parts = row.select(F.posexplode(fold).alias("q", "part"))
+    picks = parts.select("q", F.posexplode("part").alias("p", "i")).select("i", (F.col("q").cast("long") * PART + F.col("p")).alias("slot"))
+    slots = picks.select("i", (F.row_number().over(Window.partitionBy("i").orderBy("slot")) - 1).cast("long").alias("j"), "slot")
+    return members, work.table("slots", slots)
 
 
 def mix(df: DataFrame, weights: dict[str, int], default: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -56,8 +69,8 @@ def mix(df: DataFrame, weights: dict[str, int], default: int = 1, block_rows: in
 
     Within a source the order is the MD5 of doc_id's digits, so blocks are mixed evenly; ties go to doc_id, then to a hash of the
     text, then arbitrarily among equal rows. A null source is a source of its own. weights: positive integers by source,
-    default for the rest. At most MAX_SOURCES sources and a frame of MAX_FRAME slots, else an error. An empty table
-    gives an empty one.
+    default for the rest. Any number of sources and any weights; one frame's slots are found in one task, in time
+    that grows with the sum of weights times the number of different ones. An empty table gives an empty one.
 
     A source may hold any share of the rows: it is ranked in buckets of the hash, whose counts give the offsets, so no
     task holds a source. Only counts by bucket and by source are gathered.
@@ -72,24 +85,22 @@ def mix(df: DataFrame, weights: dict[str, int], default: int = 1, block_rows: in
     bucket = F.expr(f"cast(conv(substr(_h, 1, 8), 16, 10) as bigint) * {buckets} div 4294967296")
     counts = work.table("counts", keyed.groupBy("source", bucket.alias("_b")).agg(F.count(F.lit(1)).alias("n")))
     sources = counts.groupBy("source").agg(F.sum("n").alias("rows")).withColumn("w", weight_of(weights, default))
-    size = sources.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).first()
-    if size["n"] > MAX_SOURCES or (size["w"] or 0) > MAX_FRAME:
-        raise ValueError(f"{size['n']} sources with weights of {size['w']} in all: beyond {MAX_SOURCES} or {MAX_FRAME}")
-    plan = work.table("plan", frame_pattern(sources).join(sources.select(F.col("source").alias("_s"), "rows"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
+    members, slots = frame_pattern(work, sources)
     before = F.sum("n").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("source", "_b", F.coalesce(before, F.lit(0)).alias("_start"))
     per = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "_t")
     ranked = keyed.withColumn("_b", bucket).withColumn("_rn", F.row_number().over(per) - 1)
     ranked = ranked.alias("r").join(starts.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r._b") == F.col("s._b"))).select("r.doc_id", "r.source", "r._t", (F.col("s._start") + F.col("r._rn")).alias("_rank"))
     # Blocks: (source, block, rows in it, slot of virtual time), then their offsets in the mixed order.
-    blocks = plan.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {block_rows}")))).select(
+    blocks = members.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {block_rows}")))).withColumn("j", F.expr("block % w"))
+    blocks = blocks.join(slots.withColumnRenamed("slot", "_slot"), ["i", "j"]).select(
         "source", "block", F.least(F.lit(block_rows).cast("long"), F.col("rows") - F.col("block") * block_rows).alias("n"),
-        (F.expr("block div w") * F.col("total") + F.element_at("slots", F.expr("cast(block % w as int) + 1"))).alias("slot"), "total",
+        (F.expr("block div w") * F.col("total") + F.col("_slot")).alias("slot"), "total",
     )
-    frames = F.expr("slot div total")
+    frames = F.expr(f"slot div least(total, {SPAN})")
     blocks = work.table("blocks", blocks.withColumn("_f", frames))
     by_frame = work.table("frames", blocks.groupBy("_f").agg(F.sum("n").alias("n")))
-    # Offsets of frames in two levels: runs of 4096 frames, then frames in a run.
+    # Offsets of frames (of SPAN slots of longer ones) in two levels: runs of 4096 frames, then frames in a run.
     runs = by_frame.groupBy(F.expr("_f div 4096").alias("_r")).agg(F.sum("n").alias("n"))
     runs = runs.select("_r", F.coalesce(F.sum("n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_run_start"))
     in_run = Window.partitionBy("_r").orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,5 +1,6 @@
 """Training-data operators on small tables with nulls, empty texts, repeated rows and clashing columns."""
 
+import heapq
 import zlib
 
 import numpy as np
@@ -85,6 +86,32 @@ def test_mixing(spark, docs):
         assert r.block * total // w[r.source] <= r.slot < -(-(r.block + 1) * total // w[r.source])
 
 
+def test_mixing_many_sources_and_long_frames(spark):
+    """Slots are those of earliest deadline first by a plain loop, beyond 4096 sources and weights of 16384 in all."""
+    weights = {"s0": 12_000, "s3": 700, "s77": 13, "s4": 13}
+    names = [None, *(f"s{i}" for i in range(4300))]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)] + [(9000 + i, ["s0", "s3", "s77", "s9"][i % 4]) for i in range(4000)], "doc_id long, source string")
+    got = {(r.source, r.block): (r.slot, r.mix_position) for r in mixing.mix(df, weights, block_rows=1).collect()}
+    assert len(got) == 8301
+    order = sorted(names, key=lambda n: (n or "", n is None))
+    w = [weights.get(n, 1) for n in order]
+    total, ready, want = sum(w), [], {}
+    assert total > 16384
+    released = {}
+    for i, x in enumerate(w):
+        for j in range(x):
+            released.setdefault(j * total // x, []).append((-(-(j + 1) * total // x), i, j))
+    for t in range(total):
+        for x in released.get(t, ()):
+            heapq.heappush(ready, x)
+        _, i, j = heapq.heappop(ready)
+        want[order[i], j] = t
+    for (source, block), (slot, _) in got.items():
+        x = weights.get(source, 1)
+        assert slot == block // x * total + want[source, block % x]
+    assert [p for _, p in sorted(got.values())] == list(range(8301))
+
+
 def test_mix_reaches_sequences(spark, monkeypatch):
     """Sources in the packed sequences stand as in the mixed order, range by range, and follow the weights."""
     import corpus_pipeline
