@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -12,9 +13,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a local one where the session has none (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Without that setting a session in one process
+    (master local) gets a temporary folder, and any other is an error: its executors couldn't read such a folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lamella-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext.getCheckpointDir():
@@ -34,16 +38,38 @@ class Scratch:
         df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more: what was made of them is written itself."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+FEW, HOT_KEYS = 4096, 1 << 16
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """left joined with right, a written table of unique keys, each with n, its number of rows in left.
+
+    Keys of more than FEW rows and more than one HOT_KEYS-th of all are at most HOT_KEYS, so these entries are broadcast
+    and such keys' rows stay where they lie; all others meet in a shuffle. n is dropped.
+    """
+    rows = right.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(FEW, rows // HOT_KEYS)
+    some, rest = right.where(hot).drop(n), right.where(~hot).drop(n)
+    others = left.join(F.broadcast(some.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(some), keys).unionByName(others.join(rest, keys))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """64-bit hash of all columns of a row; maps count by their JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that a slice's texts stay near max_bytes; a longer text stands alone."""
     for batch in batches:
@@ -72,7 +98,7 @@ def map_texts(df: DataFrame, fn: Callable, schema: str, columns: list[str], text
     return df.select(*columns).mapInArrow(typed(run, schema), schema)
 
 
-ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+ARROW = {"array<bigint>": pa.list_(pa.int64()), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
 def typed(fn: Callable, schema: str) -> Callable:

@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, row_hash
 
 BLOCK_ROWS = 64
 PART = 256
 SPAN = 16384
+CHUNK = 4096
 
 
 def weight_of(weights: dict[str, int], default: int) -> Column:
@@ -68,7 +69,7 @@ def mix(df: DataFrame, weights: dict[str, int], default: int = 1, block_rows: in
     """Rows of df (doc_id, source, ...) with their place: block (number in the source), slot, mix_position from 0.
 
     Within a source the order is the MD5 of doc_id's digits, so blocks are mixed evenly; ties go to doc_id, then to a hash of the
-    text, then arbitrarily among equal rows. A null source is a source of its own. weights: positive integers by source,
+    whole row, then arbitrarily among equal rows. A null source is a source of its own. weights: positive integers by source,
     default for the rest. Any number of sources and any weights; one frame's slots are found in one task, in time
     that grows with the sum of weights times the number of different ones. An empty table gives an empty one.
 
@@ -77,8 +78,7 @@ def mix(df: DataFrame, weights: dict[str, int], default: int = 1, block_rows: in
     """
     spark = df.sparkSession
     work = Scratch(spark, "mix")
-    text = F.xxhash64("text") if "text" in df.columns else F.lit(0)
-    keyed = df.select("doc_id", "source", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_h"), text.alias("_t"))
+    keyed = df.select("doc_id", "source", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_h"), row_hash(df).alias("_t"))
     keyed = work.table("keys", keyed)
     total = keyed.count()
     buckets = 1 << max(6, (total // 4_000).bit_length())
@@ -92,7 +92,10 @@ def mix(df: DataFrame, weights: dict[str, int], default: int = 1, block_rows: in
     ranked = keyed.withColumn("_b", bucket).withColumn("_rn", F.row_number().over(per) - 1)
     ranked = ranked.alias("r").join(starts.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r._b") == F.col("s._b"))).select("r.doc_id", "r.source", "r._t", (F.col("s._start") + F.col("r._rn")).alias("_rank"))
     # Blocks: (source, block, rows in it, slot of virtual time), then their offsets in the mixed order.
-    blocks = members.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {block_rows}")))).withColumn("j", F.expr("block % w"))
+    # Chunks of CHUNK blocks are dealt out before they are listed, so a large source's blocks are many tasks' work.
+    last = F.expr(f"(rows - 1) div {block_rows}")
+    chunks = members.withColumn("last", last).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"last div {CHUNK}")))).repartition("i", "c")
+    blocks = chunks.withColumn("block", F.explode(F.sequence(F.col("c") * CHUNK, F.least(F.col("last"), F.col("c") * CHUNK + (CHUNK - 1))))).withColumn("j", F.expr("block % w"))
     blocks = blocks.join(slots.withColumnRenamed("slot", "_slot"), ["i", "j"]).select(
         "source", "block", F.least(F.lit(block_rows).cast("long"), F.col("rows") - F.col("block") * block_rows).alias("n"),
         (F.expr("block div w") * F.col("total") + F.col("_slot")).alias("slot"), "total",
@@ -115,12 +118,16 @@ def mix(df: DataFrame, weights: dict[str, int], default: int = 1, block_rows: in
 def in_mixed_order(df: DataFrame, weights: dict[str, int], default: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows of df, all columns and mix_position (replaced if there), as files in its order: ranges of it, each sorted.
 
-    Positions are joined by doc_id and a hash of the text; of k equal rows each takes one of their k positions.
+    Rows meet their positions by doc_id and a hash of the whole row. Of equal rows one is kept and joined with all their
+    positions, a row each, so a group of equal rows is never gathered in an array.
     """
-    # Two plain hashes as the key: the exchange of the join then serves the numbering of equal rows too.
-    place = mix(df, weights, default, block_rows).groupBy(F.xxhash64("doc_id").alias("_k"), "_t").agg(F.array_sort(F.collect_list("mix_position")).alias("_places"))
-    here = df.withColumn("_k", F.xxhash64("doc_id")).withColumn("_t", F.xxhash64("text")).join(place.hint("merge"), ["_k", "_t"])
-    here = here.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_t").orderBy("source")))
+    names = [c for c in df.columns if c.lower() != "mix_position"]
+    df = df.select(*[F.col(f"`{c}`") for c in names])
+    place = mix(df, weights, default, block_rows).select(F.xxhash64("doc_id").alias("k"), F.col("_t").alias("t"), "mix_position")
+    here = df.select(F.xxhash64("doc_id").alias("k"), row_hash(df).alias("t"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    # Counted in the order of the merge join, whose exchange and sort this shares.
+    by = Window.partitionBy("k", "t").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    one = here.withColumn("n", F.count(F.lit(1)).over(by)).where("n = 1").drop("n")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = here.select(*[F.col(f"`{c}`") for c in df.columns if c != "mix_position"], F.element_at("_places", F.col("_n")).alias("mix_position"))
+    out = one.join(place.hint("merge"), ["k", "t"]).select("row.*", "mix_position")
     return out.repartitionByRange(n, "mix_position").sortWithinPartitions("mix_position")

@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts, typed
+from .common import Scratch, map_texts, slices, typed
 
 SMALL = 160  # sets up to this size bring all shingles to step 2
 BUCKET_TOKENS = 1 << 17
 BROADCAST_IDS = 1 << 20
+SLICE = 2 << 20  # bytes of packed shingles that a Python worker handles at a time
 CARRIED = 240  # sets up to this size carry their prefix
 STIR1, STIR2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 LOW48 = np.uint64((1 << 48) - 1)
@@ -127,31 +128,31 @@ def widen(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-SETS = "doc_id long,sid long,n int,n0 int,brought int,tested int,toks binary,b0 long,b1 long,b2 long,b3 long"
+SETS = "doc_id long,th long,sid long,n int,n0 int,brought int,tested int,toks binary,b0 long,b1 long,b2 long,b3 long"
 
 
 def set_rows(batch: pa.RecordBatch, rule: Rule) -> dict:
     """Of each text: sid, size n, sampled part n0, the shingles it brings (toks), how many of them its own test uses,
     and the parity of its shingles in 256 cells (the number of differing cells is at most that of differing shingles)."""
     cols: dict[str, list] = {x.split()[0]: [] for x in SETS.split(",")}
-    for doc, s in zip(batch.column("doc_id").to_pylist(), shingles([t or "" for t in batch.column("text").to_pylist()], rule.words)):
+    for doc, th, s in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), shingles([t or "" for t in batch.column("text").to_pylist()], rule.words)):
         n, few = len(s), s[(s & np.uint64(3)) == 0]
         whole = n <= SMALL or len(few) <= rule.missing(n)
         bring = s if whole else few
         bits = np.packbits((np.bincount((s >> np.uint64(8) & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view("<i8").tolist()
         sid = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
         tested = n if n <= rule.all_tested() else len(few)
-        for k, x in zip(cols, (doc, sid, n, len(few), len(bring), tested, narrow(bring), *bits)):
+        for k, x in zip(cols, (doc, th, sid, n, len(few), len(bring), tested, narrow(bring), *bits)):
             cols[k].append(x)
     return cols
 
 
 def token_rows(buckets: int, rule: Rule):
-    """Batches of sets to rows by bucket of the hash. A shingle that several sets of a batch hold goes out once."""
+    """Slices of sets to rows by bucket of the hash. A shingle that several sets of a slice hold goes out once."""
     names = ["bucket", "once", "owner", "more", "known"]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, "toks", SLICE):
             sizes = [len(x) // 6 for x in b.column("toks").to_pylist()]
             if not sum(sizes):
                 continue
@@ -191,13 +192,13 @@ def credits(table: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sid": sids.astype(np.int64), "got": got.astype(np.int64)})
 
 
-def survivors(work: Scratch, unique: DataFrame, tokens: int, rule: Rule) -> DataFrame:
+def survivors(work: Scratch, unique: DataFrame, real: DataFrame, tokens: int, rule: Rule) -> DataFrame:
     """Sets of which a partner can exist, judged by the shingles that stand in no other set."""
     buckets = 1 << max(0, (tokens // BUCKET_TOKENS).bit_length())
     fn, schema = token_rows(buckets, rule)
     rows = unique.select("sid", "n", "toks").mapInArrow(fn, schema)
     got = rows.groupBy("bucket").applyInPandas(credits, "sid long,got long").groupBy("sid").agg(F.sum("got").alias("got"))
-    kept = unique.select("sid", "n", "tested").join(got, "sid").where(F.col("tested") - F.col("got") <= rule.missing_col("n"))
+    kept = real.groupBy("sid").agg(F.min("n").alias("n"), F.min("tested").alias("tested")).join(got, "sid").where(F.col("tested") - F.col("got") <= rule.missing_col("n"))
     return work.table("survivors", kept.select("sid"))
 
 
@@ -207,7 +208,7 @@ def prefixes(work: Scratch, held: DataFrame, rule: Rule) -> DataFrame:
     schema = "sid long,h long,rest int"
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, "toks", SLICE // 2):
             sizes = [len(x) // 6 for x in b.column("toks").to_pylist()]
             tok = widen(b"".join(b.column("toks").to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(b.column("sid").to_pylist(), np.int64), sizes)), pa.array(tok.astype(np.int64)), pa.array(((tok & np.uint64(3)) != 0).astype(np.int32))], ["sid", "h", "rest"])
@@ -223,21 +224,10 @@ def prefixes(work: Scratch, held: DataFrame, rule: Rule) -> DataFrame:
 
 
 def verify(work: Scratch, name: str, pairs: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) whose whole sets link."""
-    schema = "a long,b long"
-
-    def run(batches):
-        for batch in batches:
-            a, b, keep = batch.column("a"), batch.column("b"), []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = widen(x), widen(y)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(rule.den * same >= rule.num * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    sets = full.select("sid", "toks")
-    met = pairs.join(sets.withColumnsRenamed({"sid": "a", "toks": "x"}), "a").join(sets.withColumnsRenamed({"sid": "b", "toks": "y"}), "b")
-    return work.table(name, met.select("a", "b", "x", "y").mapInArrow(typed(run, schema), schema))
+    """Pairs (a, b) whose whole sets link. Pair by pair in the JVM: sets aren't gathered in batches, however long they are."""
+    met = pairs.join(full.withColumnsRenamed({"sid": "a", "toks": "x"}), "a").join(full.withColumnsRenamed({"sid": "b", "toks": "y"}), "b")
+    same, both = F.size(F.array_intersect("x", "y")).cast("long"), (F.size("x") + F.size("y")).cast("long")
+    return work.table(name, met.where(rule.den * same >= rule.num * (both - same)).select("a", "b"))
 
 
 def are_stars(edges: DataFrame) -> bool:
@@ -260,6 +250,7 @@ def components(work: Scratch, name: str, links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = work.table(f"{name}{k}", small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+        work.drop(f"{name}{k}l", f"{name}{k - 1}")
     roots = edges.select(F.col("v").alias("sid"), F.col("v").alias("label")).distinct()
     return work.table(f"{name}-labels", edges.select(F.col("u").alias("sid"), F.col("v").alias("label")).unionByName(roots))
 
@@ -277,6 +268,7 @@ def links_between(work: Scratch, docs: DataFrame, sets: DataFrame, held: DataFra
     groups = work.table("groups", groups)
     member = member.drop("hs").join(groups.select("grp", "gid"), "grp")
     member = work.table("members", member.drop("grp"))
+    work.drop("posts", "member")
     posts = work.table("keys", groups.select("gid", "n", "members", "b0", "b1", "b2", "b3", "rank", F.posexplode("hs").alias("i", "h")).withColumn("rank", F.col("rank") + F.col("i")).drop("i"))
     hub = posts.groupBy("h").agg(F.min(F.struct("rank", "gid")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", F.col("hub.gid").alias("hub"))
     # Stars: members with their group's hub, groups with their shingles' hubs.
@@ -286,6 +278,7 @@ def links_between(work: Scratch, docs: DataFrame, sets: DataFrame, held: DataFra
     stars = work.table("stars", inner.unionByName(outer).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     full = whole_sets(work, "star-sets", docs, sets, stars, rule)
     links = verify(work, "star-links", stars, full, rule)
+    work.drop("star-sets", "star-sets-once", "stars")
     labels = components(work, "star", links)
     # Rest: on each shingle, members of another class than the hub's meet all others of another class than their own.
     member = member.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
@@ -303,6 +296,7 @@ def links_between(work: Scratch, docs: DataFrame, sets: DataFrame, held: DataFra
     met = rest.alias("x").join(listed.alias("y"), F.expr(f"x.h = y.h and x.sid <> y.sid and x.label <> y.label and {lead} and {rule.fits('x', 'y')} and {rule.parity_fits('x', 'y')} and {first}"))
     more = work.table("more", met.select(F.greatest("x.sid", "y.sid").alias("a"), F.least("x.sid", "y.sid").alias("b")).distinct())
     more_links = verify(work, "more-links", more, whole_sets(work, "more-sets", docs, sets, more, rule), rule)
+    work.drop("keys", "listed", "more", "more-sets", "more-sets-once", "groups", "members")
     return components(work, "all", links.unionByName(more_links))
 
 
@@ -314,44 +308,59 @@ def alone(posts: DataFrame, hub: DataFrame) -> DataFrame:
 
 
 def whole_sets(work: Scratch, name: str, docs: DataFrame, sets: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """(sid, toks) with all shingles of the sets in pairs, made again from one text each."""
+    """(sid, toks) with all shingles (48 bits of each) of the sets in pairs, made again from one text each."""
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    ids = work.table(f"{name}-ids", sets.join(wanted, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
+    ids = work.table(f"{name}-ids", sets.join(wanted, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("d")).select("sid", "d.*"))
     small = ids.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id").select("sid", "text")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(F.broadcast(ids) if small else ids, ["doc_id", "th"]).select("sid", "text")
 
     def rows(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"sid": [], "toks": []}
-        for sid, s in zip(batch.column("sid").to_pylist(), shingles([t or "" for t in batch.column("text").to_pylist()], rule.words)):
-            if int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) == sid:
-                out["sid"].append(sid)
-                out["toks"].append(narrow(s))
-        return out
+        found = shingles([t or "" for t in batch.column("text").to_pylist()], rule.words)
+        ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
+        flat = (np.concatenate(found) & LOW48).astype(np.int64)
+        return {"sid": batch.column("sid"), "toks": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
 
-    return work.table(name, map_texts(texts, rows, "sid long,toks binary", ["sid", "text"], max_bytes=3 << 20).dropDuplicates(["sid"]), "snappy")
+    made = work.table(name, map_texts(texts, rows, "sid long,toks array<bigint>", ["sid", "text"], max_bytes=3 << 20), "snappy")
+    if made.groupBy("sid").count().where("count > 1").isEmpty():
+        return made
+    return work.table(f"{name}-once", made.dropDuplicates(["sid"]), "snappy")  # fully repeated rows of docs
 
 
-def jaccard_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable by links).
+def jaccard_rows(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, text_hash, n_shingles, component_id, keeper.
 
-    Words are runs of bytes other than space and \\t..\\r, A-Z lowered; the rule has the words of a shingle and the
-    similarity, and a text of fewer words is one shingle. Sets without words (null and
-    empty texts) are linked with nothing, their component is the document itself. Rows with a null doc_id link with
-    nothing and have a null component; repeated rows are one set. Same doc_id with different texts: a row each.
-    Linking is exact up to equal 48-bit hashes of different shingles in one pair.
+    text_hash is xxhash64 of the text. keeper is the (doc_id, text_hash) of the class's first row in that order, so it
+    tells apart several texts of one doc_id; null for rows that link with nothing by rule (see jaccard_classes).
     """
     work = Scratch(docs.sparkSession, "jaccard")
-    sets = work.table("sets", map_texts(docs, lambda b: set_rows(b, rule), SETS, ["doc_id", "text"], max_bytes=3 << 20), "snappy")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    sets = work.table("sets", map_texts(keyed, lambda b: set_rows(b, rule), SETS, ["doc_id", "th", "text"], max_bytes=3 << 20), "snappy")
     real = sets.where("n > 0 and doc_id is not null")
     tokens = real.agg(F.sum("brought")).first()[0] or 0
     columns = ["n", "n0", "brought", "tested", "toks", "b0", "b1", "b2", "b3"]
     unique = real.groupBy("sid").agg(F.min_by(F.struct(*columns), "doc_id").alias("x")).select("sid", "x.*")
-    alive = survivors(work, unique, tokens, rule)
+    alive = survivors(work, unique, real, tokens, rule)
     held = real.join(alive, "sid").groupBy("sid").agg(F.min_by(F.struct(*columns), "doc_id").alias("x")).select("sid", "x.*")
-    labels = links_between(work, docs, real.select("sid", "doc_id"), work.table("held", held, "snappy"), rule)
-    named = sets.select("doc_id", "sid", F.col("n").alias("n_shingles")).join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    labels = links_between(work, docs, real.select("sid", "doc_id", "th"), work.table("held", held, "snappy"), rule)
+    named = sets.select("doc_id", "th", "sid", F.col("n").alias("n_shingles")).join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     named = work.table("named", named)
-    first = named.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    work.drop("sets", "held", "all-labels", "star-labels")
+    first = named.where("n_shingles > 0 and doc_id is not null").groupBy("label").agg(F.min(F.struct("doc_id", F.col("th").alias("text_hash"))).alias("keeper"))
     out = named.join(first, "label", "left")
-    mine = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), mine.alias("component_id"))
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return out.select(
+        "doc_id", F.col("th").alias("text_hash"), F.col("n_shingles").cast("long").alias("n_shingles"),
+        F.when(linked, F.col("keeper.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(linked, F.col("keeper")).alias("keeper"),
+    )
+
+
+def jaccard_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable by links).
+
+    Words are runs of bytes other than space and \\t..\\r, A-Z lowered; the rule has the words of a shingle and the
+    similarity, and a text of fewer words is one shingle. Sets without words (null and
+    empty texts) are linked with nothing, their component is the document itself. Rows with a null doc_id link with
+    nothing and have a null component; repeated rows are one set. Same doc_id with different texts: a row each.
+    Linking is exact up to equal 48-bit hashes of different shingles in one pair.
+    """
+    return jaccard_rows(docs, rule).select("doc_id", "n_shingles", "component_id")

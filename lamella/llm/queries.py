@@ -117,18 +117,19 @@ c as (select a, min(b) as component_id from reach group by a)
 select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, c.component_id
 from documents d left join n on n.doc_id = d.doc_id left join c on c.a = d.doc_id
 """
+#: Independent of the operator's windows: equal lines of two places, extended to maximal runs along their diagonal. Line k
+#: of the later copy goes if the run from its start to k + (its distance from the earlier copy, in one text) has enough words.
 OP8 = rf"""
 with d as (select doc_id, text, string_split(text, chr(10)) as l from documents where text is not null),
-e as (select doc_id, l, list_transform(l, lambda x: greatest(1, len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')))) as ws from d),
-i as (select doc_id, l, ws, unnest(range(len(l))) as k from e),
-f as (select *, list_filter(range(1, {linededup.MIN_WORDS + 1}), lambda m: k + m <= len(l) and list_sum(ws[k + 1:k + m]) >= {linededup.MIN_WORDS})[1] as mf,
-             list_filter(range(1, {linededup.MIN_WORDS + 1}), lambda m: k + 1 - m >= 0 and list_sum(ws[k + 2 - m:k + 1]) >= {linededup.MIN_WORDS})[1] as mb from i),
-s as (select doc_id, k as a, mf as m, array_to_string(l[k + 1:k + mf], chr(10)) as g from f where mf is not null
-      union select doc_id, k + 1 - mb, mb, array_to_string(l[k + 2 - mb:k + 1], chr(10)) from f where mb is not null),
-o as (select *, row_number() over (partition by m, g order by doc_id, a) as r from s),
-gone as (select distinct doc_id, unnest(range(a, a + m)) as k from o where r > 1),
-kept as (select i.doc_id, count(*) as n_lines, count(gone.k) as n_deleted,
-           string_agg(case when gone.k is null then i.l[i.k + 1] end, chr(10) order by i.k) as t
+i as (select doc_id, unnest(l) as line, unnest(range(len(l))) as k from d),
+w as (select *, greatest(1, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda y: y <> ''))) as w, count(*) over (partition by line) as n from i),
+p as (select b.doc_id, b.k, b.w, a.doc_id as da, b.k - a.k as shift from w a join w b on a.line = b.line and a.n > 1
+        and (a.doc_id < b.doc_id or a.doc_id = b.doc_id and a.k < b.k)),
+g as (select *, k - row_number() over (partition by doc_id, da, shift order by k) as g from p),
+s as (select doc_id, k, da, sum(w) over (partition by doc_id, da, shift, g order by k rows between unbounded preceding and
+               (case when da = doc_id then shift - 1 else 1000000000 end) following) as s from g),
+gone as (select distinct doc_id, k from s where s >= {linededup.MIN_WORDS}),
+kept as (select i.doc_id, count(*) as n_lines, count(gone.k) as n_deleted, string_agg(case when gone.k is null then i.line end, chr(10) order by i.k) as t
          from i left join gone on gone.doc_id = i.doc_id and gone.k = i.k group by i.doc_id)
 select x.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_deleted, 0) as n_deleted,
        case when x.text is not null then sha256(coalesce(t, '')) end as kept_sha256

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lamella.llm import linededup, media, mixing, ngramjoin, packing, quality, secret_scan, topk, toxicity, warc
+from lamella.llm import common, linededup, media, mixing, ngramjoin, packing, quality, secret_scan, topk, toxicity, warc
 
 TEXTS = [None, "", "one", "a b c d e f g h i j k l", "A B c d e f g h i j k l", "a b c d e f g h i j k m", "x\ny\nz", "über naïve 日本 text", "word " * 3000]
 
@@ -135,22 +135,26 @@ def test_mix_reaches_sequences(spark, monkeypatch):
     assert all(sum(n for _, n in x[:i]) == o for x in map(sorted, by.values()) for i, (o, _) in enumerate(x)) and all(sum(n for _, n in x) <= 64 for x in by.values())
 
 
-def brute_lines(rows, least):
-    seen, spans, gone, texts = {}, set(), {}, {}
-    for d, t in sorted(rows):
-        texts[d] = t.split("\n")
-        n = [max(1, len(x.split())) for x in texts[d]]
-        for i in range(len(n)):
-            j = next((j for j in range(i, len(n)) if sum(n[i : j + 1]) >= least), None)
-            if j is not None:
-                spans.add((d, i, j, tuple(texts[d][i : j + 1])))
-            j = next((j for j in range(i, -1, -1) if sum(n[j : i + 1]) >= least), None)
-            if j is not None:
-                spans.add((d, j, i, tuple(texts[d][j : i + 1])))
-    for d, i, j, k in sorted(spans, key=lambda x: x[:3]):
-        if seen.setdefault(k, (d, i)) != (d, i):
-            gone.setdefault(d, set()).update(range(i, j + 1))
-    return {d: "\n".join(x for k, x in enumerate(t) if k not in gone.get(d, ())) for d, t in texts.items()}
+def brute_lines(rows, counts):
+    """All runs of lines that count, maximal ones among them: a run's first place by (doc_id, line) stays as far as this
+    run goes; in its other places every line goes that doesn't lie in the first place itself."""
+    first, texts, gone = {}, {d: t.split("\n") for d, t in sorted(rows)}, set()
+    runs = [(d, i, j) for d, t in texts.items() for i in range(len(t)) for j in range(i + 1, len(t) + 1) if counts(t[i:j])]
+    for d, i, j in runs:
+        first.setdefault(tuple(texts[d][i:j]), (d, i))
+    for d, i, j in runs:
+        of, at = first[tuple(texts[d][i:j])]
+        if (of, at) != (d, i):
+            gone |= {(d, k) for k in range(max(i, at + j - i) if of == d else i, j)}
+    return {d: "\n".join(x for k, x in enumerate(t) if (d, k) not in gone) for d, t in texts.items()}
+
+
+def has_words(least):
+    return lambda lines: sum(max(1, len(x.split())) for x in lines) >= least
+
+
+def has_content(lines):
+    return any(c.isalnum() for x in lines for c in x)
 
 
 def test_line_dedup(spark, docs):
@@ -158,19 +162,27 @@ def test_line_dedup(spark, docs):
     r = np.random.default_rng(0)
     rows = [(i, "\n".join(str(x) for x in r.integers(0, 3, int(r.integers(1, 30))))) for i in range(30)]
     got = {x.doc_id: x.text for x in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
-    assert got == brute_lines(rows, 5)
+    assert got == brute_lines(rows, has_words(5))
 
 
-def brute_any_runs(rows):
-    """A line goes if a run of lines around it, one of them with a letter or digit, stands earlier."""
-    first, texts, out = {}, {d: t.split("\n") for d, t in sorted(rows)}, {}
-    runs = [(d, i, j) for d, t in texts.items() for i in range(len(t)) for j in range(i, len(t)) if any(c.isalnum() for x in t[i : j + 1] for c in x)]
-    for d, i, j in runs:
-        first.setdefault(tuple(texts[d][i : j + 1]), (d, i))
-    gone = {(d, k) for d, i, j in runs if first[tuple(texts[d][i : j + 1])] != (d, i) for k in range(i, j + 1)}
-    for d, t in texts.items():
-        out[d] = "\n".join(x for k, x in enumerate(t) if (d, k) not in gone)
-    return out
+def test_line_dedup_keeps_first_copies_whole(spark):
+    ten = " ".join(f"w{i}" for i in range(10))
+    rows = [(1, "\n".join([ten] * 3)), (2, "\n".join(["a " * 20] * 4 + ["tail"])), (3, f"{ten}\n{ten}\nx"), (4, "y\n" + "\n".join(["a " * 20] * 2)), (None, "\n".join([ten] * 3)), (5, None)]
+    got = {x.doc_id: x.text for x in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "\n".join([ten] * 2), 2: "a " * 20 + "\ntail", 3: "x", 4: "y", None: rows[4][1], 5: None}
+    runs = linededup.repeated_runs(spark.createDataFrame([(1, "p\nq\nr\ns"), (2, "z\np\nq\nr\nt"), (3, "q\nr")], "doc_id long, text string"), None).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.first_doc, r.first_start) for r in runs) == [(2, 1, 4, 1, 0), (3, 0, 2, 1, 1)]
+
+
+def test_line_dedup_of_hot_lines_and_clashing_columns(spark, monkeypatch):
+    """Keys beyond FEW rows take the broadcast path; columns of the operator's own names are replaced, others stay."""
+    monkeypatch.setattr(common, "FEW", 5)
+    r = np.random.default_rng(3)
+    rows = [(i, "\n".join("hot" if r.random() < 0.5 else str(x) for x in r.integers(0, 9, 12)), "k", i, "t") for i in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, n_lines long, th string")
+    got = linededup.dedup_lines(df, 3)
+    assert sorted(got.columns) == sorted(["doc_id", "text", "a.b", "th", "n_lines", "n_deleted"])
+    assert {x.doc_id: x.text for x in got.collect()} == brute_lines([x[:2] for x in rows], has_words(3))
 
 
 def test_line_dedup_of_any_length(spark):
@@ -178,7 +190,7 @@ def test_line_dedup_of_any_length(spark):
     lines = ["", "", "", "--", "a", "b c", "é", *map(str, range(40))]
     rows = [(i, "\n".join(lines[int(k)] for k in r.integers(0, len(lines), int(r.integers(1, 25))))) for i in range(30)]
     rows += [(30, "x" + "\n" * 19 + "y\nz"), (31, "w\nx" + "\n" * 19 + "y"), (32, "\n\n--")]
-    want = brute_any_runs(rows)
+    want = brute_lines(rows, has_content)
     assert want[31] == "w" and want[32] == "\n\n--"
     got = {x.doc_id: x.text for x in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), None).collect()}
     assert got == want
