@@ -8,15 +8,15 @@ import zlib
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, typed
 
 LENGTH = 1024
 GROUP_DOCS = 4096
+GROUP_PIECES = 1 << 16
 END_TEXT, END_ID, CLOSING = "<|endoftext|>", 50256, 0
 
 
@@ -83,6 +83,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[n
     return bins, offsets
 
 
+PACKED = "doc_id long,start long,length long,ids_crc32 long,doc_tokens long,sequence_id long,offset long,padded_length long"
 PIECES = "doc_id long,start long,length long,ids_crc32 long,doc_tokens long,place long"
 
 
@@ -116,6 +117,7 @@ def pack(df: DataFrame, tokens: str, length: int = LENGTH, group_docs: int = GRO
     Documents go to groups by a hash of id and text, about group_docs each (the number follows the count of rows), and
     each group is packed alone, so a task holds some thousand piece lengths whatever the table's size. Null texts count
     as empty and give their closing id. Repeated rows are packed as often as they stand; a null doc_id stays null.
+    A group of more than GROUP_PIECES pieces (many repeated rows, very long texts) is packed in stretches of so many.
     Sequences are padded to length, or stay as they are when their size is a power of two.
 
     With order, a column of places from 0 without repeats or gaps, groups are ranges of group_docs places, and a group's
@@ -127,21 +129,45 @@ def pack(df: DataFrame, tokens: str, length: int = LENGTH, group_docs: int = GRO
     else:
         groups = max(1, -(-df.count() // group_docs))
         cut = pieces(df, tokens, length).withColumn("grp", F.pmod(F.xxhash64("doc_id", "place"), F.lit(groups)))
-    out = "doc_id long,start long,length long,ids_crc32 long,doc_tokens long,sequence_id long,offset long,padded_length long"
+    sort = ["grp", "place", "start"] if order else ["grp", "doc_id", "start", "ids_crc32"]
+    ready = cut.repartition("grp").sortWithinPartitions(*sort)
 
-    def fill(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(["place", "start"] if order else ["doc_id", "start", "ids_crc32"], kind="stable", na_position="last")
+    def pack_group(table: pa.Table, grp: int, base: int) -> tuple[pa.RecordBatch, int]:
+        """Sequences of one group's pieces, numbered from base on, and the next number."""
         if order:  # ties in length are broken in a fixed random order, so that a sequence's pieces come from all of the range
-            table = table.iloc[np.random.default_rng(int(table["grp"].iloc[0])).permutation(len(table))]
-        bins, offsets = first_fit_decreasing(table["length"].to_numpy(), length)
+            table = table.take(pa.array(np.random.default_rng(grp).permutation(len(table))))
+        lengths = table.column("length").to_numpy()
+        bins, offsets = first_fit_decreasing(lengths, length)
         if order:
             of, first = np.unique(bins, return_index=True)
             at = np.empty(len(of), np.int64)
-            at[np.argsort(table["place"].to_numpy()[first], kind="stable")] = np.arange(len(of))
+            at[np.argsort(table.column("place").to_numpy()[first], kind="stable")] = np.arange(len(of))
             bins = at[bins]
-        used = np.bincount(bins, weights=table["length"].to_numpy()).astype(np.int64)
+        used = np.bincount(bins, weights=lengths).astype(np.int64)
         whole = np.where(used & (used - 1), length, used)
-        table = table.assign(sequence_id=(int(table["grp"].iloc[0]) << 32) + bins, offset=offsets, padded_length=whole[bins], doc_id=table["doc_id"].astype("Int64"))
-        return table[[x.split()[0] for x in out.split(",")]]
-
-    return cut.groupBy("grp").applyInPandas(fill, out)
+        own = [table.column(c).combine_chunks() for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
+        made = [pa.array(x) for x in ((grp << 32) + base + bins, offsets, whole[bins])]
+        return pa.RecordBatch.from_arrays([*own, *made], [x.split()[0] for x in PACKED.split(",")]), base + len(used)
+
+    def fill(batches):
+        held, n, grp, base = [], 0, None, 0
+        for b in batches:
+            g = b.column("grp").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+            for a, z in zip(edges, edges[1:]):
+                if a < z and g[a] != grp:
+                    if held:
+                        yield pack_group(pa.Table.from_batches(held), grp, base)[0]
+                    held, n, grp, base = [], 0, int(g[a]), 0
+                while a < z:
+                    take = min(z - a, GROUP_PIECES - n)
+                    held.append(b.slice(a, take))
+                    a, n = a + take, n + take
+                    if n == GROUP_PIECES:
+                        out, base = pack_group(pa.Table.from_batches(held), grp, base)
+                        yield out
+                        held, n = [], 0
+        if held:
+            yield pack_group(pa.Table.from_batches(held), grp, base)[0]
+
+    return ready.mapInArrow(typed(fill, PACKED), PACKED)

@@ -8,6 +8,8 @@ classes and on repetition figures of the whole text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -117,63 +119,108 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int = 0, step
     return net
 
 
-def estimate_prior(pos_scores: np.ndarray, unl_scores: np.ndarray) -> float:
+BINS, REACH = 4096, 8.0
+
+
+def bin_of(logits: np.ndarray) -> np.ndarray:
+    """Number of the bin, of BINS equal ones over [-REACH, REACH], that holds each logit; the end bins hold the rest."""
+    return np.clip(((logits + REACH) * (BINS / (2 * REACH))).astype(np.int64), 0, BINS - 1)
+
+
+def middle(bins: np.ndarray) -> np.ndarray:
+    return (bins + 0.5) * (2 * REACH / BINS) - REACH
+
+
+def estimate_prior(pos_bins: np.ndarray, counts: np.ndarray) -> float:
     """Smallest share-above ratio unlabelled / positive, over scores that at least half of the positives reach;
-    within [0.05, 0.99]."""
-    best = 0.99
-    for t in np.quantile(pos_scores, np.linspace(0.01, 0.5, 50)):
-        fp, fu = (pos_scores >= t).mean(), (unl_scores >= t).mean()
-        best = min(best, fu / max(fp, 1e-9))
+    within [0.05, 0.99]. pos_bins: the positives' bins; counts: unlabelled rows by bin."""
+    best, above = 0.99, np.cumsum(counts[::-1])[::-1] / max(1, counts.sum())
+    for t in np.quantile(pos_bins, np.linspace(0.01, 0.5, 50), method="lower").astype(np.int64):
+        best = min(best, above[t] / max((pos_bins >= t).mean(), 1e-9))
     return float(np.clip(best, 0.05, 0.99))
 
 
-def widest_split(v: np.ndarray) -> float:
-    """Cut of the values with the largest variance between its two sides."""
-    v = np.sort(v)
-    k = np.arange(1, len(v))
-    low, high = np.cumsum(v)[:-1] / k, (v.sum() - np.cumsum(v)[:-1]) / (len(v) - k)
-    i = int(np.argmax(k * (len(v) - k) * (high - low) ** 2))
-    return float((v[i] + v[i + 1]) / 2)
+def widest_split(counts: np.ndarray) -> float:
+    """Cut of the logits with the largest variance between its two sides."""
+    v = middle(np.arange(BINS))
+    low, total = np.cumsum(counts), counts.sum()
+    some = np.flatnonzero((low > 0) & (low < total))
+    if not len(some):
+        return float(v[np.argmax(counts)])
+    k, s = low[some], np.cumsum(counts * v)
+    means = (s[-1] - s[some]) / (total - k) - s[some] / k
+    # Bins between two bunches are equally good: the middle one of them.
+    gain = k * (total - k) * means**2
+    best = some[gain >= gain.max() * (1 - 1e-12)]
+    return float(v[best[len(best) // 2]])
 
 
-def threshold_shift(net: Net, unl: np.ndarray, prior: float) -> float:
+def threshold_shift(counts: np.ndarray, prior: float) -> float:
     """What to add to logits so that THRESHOLD stands where the unlabelled scores part: at the share 1 - prior of them,
     or at their widest split if that is lower (a sharp split rejects no more than it must)."""
-    logits = np.clip(net.logits(net.ready(unl))[1], -8, 8)
-    cut = min(float(np.quantile(logits, 1 - prior)), widest_split(logits))
-    return float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut)
+    share = middle(np.searchsorted(np.cumsum(counts), (1 - prior) * counts.sum()))
+    return float(np.log(THRESHOLD / (1 - THRESHOLD)) - min(float(share), widest_split(counts)))
 
 
-def fit(pos: list[str], unl: list[str], seed: int = 0) -> tuple[Net, float]:
-    """(model, prior). A first fit at prior 0.5 on half of the rows ranks the other half, which gives the prior."""
-    xp, xu = features_of(pos), features_of(unl)
-    if len(xp) < 4 or len(xu) < 4:  # too little to learn from: everything scores the trivial prior
+def fit(pos: tuple[np.ndarray, np.ndarray], unl: tuple[np.ndarray, np.ndarray], spread: Callable, seed: int = 0) -> tuple[Net, float]:
+    """(model, prior). pos, unl: (features, side 0 or 1) of the rows to fit on; spread(net, side): counts by bin of the
+    logits of all unlabelled rows of a side (None: both). A first fit at prior 0.5 on side 0 ranks side 1, which gives
+    the prior."""
+    (xp, sp), (xu, su) = pos, unl
+    if min((sp == 0).sum(), (sp == 1).sum(), (su == 0).sum(), (su == 1).sum()) < 2:  # too little to learn from: everything scores the trivial prior
         net = Net(np.zeros((2, N * N + EXTRA), np.float32), seed)
         net.p = [np.zeros_like(p) for p in net.p]
         return net, 0.5
-    half = fit_nnpu(xp[::2], xu[::2], 0.5, seed, steps=400)
-    prior = estimate_prior(half.score(xp[1::2]), half.score(xu[1::2]))
+    half = fit_nnpu(xp[sp == 0], xu[su == 0], 0.5, seed, steps=400)
+    prior = estimate_prior(bin_of(half.logits(half.ready(xp[sp == 1]))[1]), spread(half, 1))
     net = fit_nnpu(xp, xu, prior, seed)
-    net.shift = threshold_shift(net, xu, prior)
+    net.shift = threshold_shift(spread(net, None), prior)
     return net, prior
 
 
-def training_texts(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> tuple[list, list]:
-    """(trusted positives, unlabelled), at most rows texts of at most chars characters each, chosen by a hash of doc_id.
+def open_rows(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, side) of the rows that fitting may see: no held-out ones. side is a hash of doc_id, mod 2."""
+    side = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(2)).cast("int").alias("side")
+    return documents.where(crc_mod("doc_id", FOLDS) != HELD_OUT).select("doc_id", "text", side)
+
 
-    The bounds hold for fitting only. No held-out row takes part on either side.
+def spread_of(documents: DataFrame) -> Callable:
+    """spread for fit: every open row of documents counts, with its whole text. At most BINS numbers come back."""
+    rows = open_rows(documents).where(F.col("text").isNotNull())
+
+    def spread(net: Net, side: int | None) -> np.ndarray:
+        def count(batch: pa.RecordBatch) -> dict:
+            bins, n = np.unique(bin_of(net.logits(net.ready(features_of(batch.column("text").to_pylist())))[1]), return_counts=True)
+            return {"bin": bins, "n": n}
+
+        own = rows if side is None else rows.where(F.col("side") == side)
+        out = np.zeros(BINS)
+        for r in map_texts(own, count, "bin long,n long", ["text"]).groupBy("bin").agg(F.sum("n").alias("n")).collect():
+            out[r["bin"]] = r["n"]
+        return out
+
+    return spread
+
+
+def training_rows(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> tuple[list, list]:
+    """(trusted positives, unlabelled) as (text, side), at most rows of at most chars characters each, chosen by a hash of doc_id.
+
+    The bounds hold for the rows that gradients are taken of; the prior and the threshold come from all rows.
     """
-    docs = documents.select("doc_id", "text").where((crc_mod("doc_id", FOLDS) != HELD_OUT) & F.col("text").isNotNull() & (F.length("text") <= chars))
+    docs = open_rows(documents).where(F.col("text").isNotNull() & (F.length("text") <= chars))
     good = labels.where("quality = 1").select("doc_id").where(crc_mod("doc_id", FOLDS) != HELD_OUT).groupBy("doc_id").count().select("doc_id")
     # The ids are chosen first (two longs a row), then their texts are read.
     pick = lambda ids: ids.select("doc_id").withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(rows).select("doc_id")
-    take = lambda ids: [r.text for r in docs.join(F.broadcast(pick(ids)), "doc_id").orderBy("doc_id").limit(rows).collect()]
+    take = lambda ids: [(r.text, r.side) for r in docs.join(F.broadcast(pick(ids)), "doc_id").orderBy("doc_id").limit(rows).collect()]
     return take(good), take(docs)
 
 
 def score_quality(documents: DataFrame, net: Net) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, of the whole text. Null and empty texts score alike.
 
+    The score is monotone in the model's probability but shifted so that 0.3 stands where the corpus's scores part; it
+    isn't itself a probability.
+
     A null doc_id is not held out. One map over the table; the model (some 20 k numbers) travels with the task.
     """
 
@@ -186,7 +233,8 @@ def score_quality(documents: DataFrame, net: Net) -> DataFrame:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Net:
-    return fit(*training_texts(documents, labels))[0]
+    sides = lambda rows: (features_of([t for t, _ in rows]), np.array([s for _, s in rows], np.int64))
+    return fit(*map(sides, training_rows(documents, labels)), spread_of(documents))[0]
 
 
 def keep_good(documents: DataFrame, net: Net) -> DataFrame:

@@ -265,7 +265,10 @@ def test_classifiers(spark, docs):
     assert (s[:30] >= 0.3).mean() > 0.9 and (s[30:] >= 0.3).mean() < 0.1
     assert toxicity.score_toxicity(docs, net).count() == 11
     junk = [say(30).upper().replace(" ", "!! ") for _ in range(60)]
-    q, prior = quality.fit(good[:120], good[60:] + junk[:40])
+    rows = lambda texts: (quality.features_of(texts), np.arange(len(texts)) % 2)
+    unl = rows(good[60:] + junk[:40])
+    spread = lambda net, side: np.bincount(quality.bin_of(net.logits(net.ready(unl[0][unl[1] == side] if side is not None else unl[0]))[1]), minlength=quality.BINS)
+    q, prior = quality.fit(rows(good[:120]), unl, spread)
     assert 0.5 < prior < 0.9
     assert (q.score(quality.features_of(junk[40:])) < 0.3).mean() > 0.9 and (q.score(quality.features_of(good)) >= 0.3).mean() > 0.95
     assert quality.score_quality(docs, q).count() == 11 and set(quality.keep_good(docs, q).columns) == set(docs.columns)
