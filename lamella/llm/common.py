@@ -94,6 +94,7 @@ def map_texts(df: DataFrame, fn: Callable, schema: str, columns: list[str], text
             out = fn(part)
             arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)]
             yield pa.RecordBatch.from_arrays(arrays, names)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.select(*columns).mapInArrow(typed(run, schema), schema)
 

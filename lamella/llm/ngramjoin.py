@@ -28,6 +28,7 @@ from .common import Scratch, map_texts, slices, typed
 SMALL = 160  # sets up to this size bring all shingles to step 2
 BUCKET_TOKENS = 1 << 17
 BROADCAST_IDS = 1 << 20
+TEXTS = 1 << 20  # bytes of texts that a Python worker hashes at a time; it needs some fifty times as much
 SLICE = 2 << 20  # bytes of packed shingles that a Python worker handles at a time
 CARRIED = 240  # sets up to this size carry their prefix
 STIR1, STIR2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -320,7 +321,7 @@ def whole_sets(work: Scratch, name: str, docs: DataFrame, sets: DataFrame, pairs
         flat = (np.concatenate(found) & LOW48).astype(np.int64)
         return {"sid": batch.column("sid"), "toks": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
 
-    made = work.table(name, map_texts(texts, rows, "sid long,toks array<bigint>", ["sid", "text"], max_bytes=3 << 20), "snappy")
+    made = work.table(name, map_texts(texts, rows, "sid long,toks array<bigint>", ["sid", "text"], max_bytes=TEXTS), "snappy")
     if made.groupBy("sid").count().where("count > 1").isEmpty():
         return made
     return work.table(f"{name}-once", made.dropDuplicates(["sid"]), "snappy")  # fully repeated rows of docs
@@ -334,7 +335,7 @@ def jaccard_rows(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """
     work = Scratch(docs.sparkSession, "jaccard")
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    sets = work.table("sets", map_texts(keyed, lambda b: set_rows(b, rule), SETS, ["doc_id", "th", "text"], max_bytes=3 << 20), "snappy")
+    sets = work.table("sets", map_texts(keyed, lambda b: set_rows(b, rule), SETS, ["doc_id", "th", "text"], max_bytes=TEXTS), "snappy")
     real = sets.where("n > 0 and doc_id is not null")
     tokens = real.agg(F.sum("brought")).first()[0] or 0
     columns = ["n", "n0", "brought", "tested", "toks", "b0", "b1", "b2", "b3"]

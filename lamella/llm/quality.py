@@ -20,6 +20,8 @@ from .common import crc_mod, map_texts, slices
 FOLDS, HELD_OUT = 5, 0
 FIT_ROWS, FIT_CHARS = 4000, 30_000
 HIDDEN = 16
+PART = 512
+SLICE = 2 << 20
 THRESHOLD = 0.3
 
 
@@ -57,6 +59,11 @@ def features_of(texts: list) -> np.ndarray:
     return np.stack([features(t or "") for t in texts]) if texts else np.zeros((0, N * N + EXTRA), np.float32)
 
 
+def by_parts(f: Callable, texts: list) -> np.ndarray:
+    """f of the features of texts, PART at a time: short texts take much more room as features."""
+    return np.concatenate([f(features_of(texts[a : a + PART])) for a in range(0, len(texts), PART)] or [np.zeros(0)])
+
+
 class Net:
     """One hidden layer of ReLUs and a sigmoid, on standardised features."""
 
@@ -190,12 +197,12 @@ def spread_of(documents: DataFrame) -> Callable:
 
     def spread(net: Net, side: int | None) -> np.ndarray:
         def count(batch: pa.RecordBatch) -> dict:
-            bins, n = np.unique(bin_of(net.logits(net.ready(features_of(batch.column("text").to_pylist())))[1]), return_counts=True)
+            bins, n = np.unique(by_parts(lambda x: bin_of(net.logits(net.ready(x))[1]), batch.column("text").to_pylist()), return_counts=True)
             return {"bin": bins, "n": n}
 
         own = rows if side is None else rows.where(F.col("side") == side)
         out = np.zeros(BINS)
-        for r in map_texts(own, count, "bin long,n long", ["text"]).groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        for r in map_texts(own, count, "bin long,n long", ["text"], max_bytes=SLICE).groupBy("bin").agg(F.sum("n").alias("n")).collect():
             out[r["bin"]] = r["n"]
         return out
 
@@ -225,11 +232,11 @@ def score_quality(documents: DataFrame, net: Net) -> DataFrame:
     """
 
     def score(batch: pa.RecordBatch) -> dict:
-        s = net.score(features_of(batch.column("text").to_pylist())).astype(np.float64)
+        s = by_parts(net.score, batch.column("text").to_pylist()).astype(np.float64)
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": s, "predicted": (s >= THRESHOLD).astype(np.int32)}
 
     ready = documents.withColumn("held_out", F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False)))
-    return map_texts(ready, score, "doc_id long,held_out boolean,score double,predicted int", ["doc_id", "text", "held_out"])
+    return map_texts(ready, score, "doc_id long,held_out boolean,score double,predicted int", ["doc_id", "text", "held_out"], max_bytes=SLICE)
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Net:
@@ -241,7 +248,7 @@ def keep_good(documents: DataFrame, net: Net) -> DataFrame:
     """Rows of documents, all columns, whose predicted is 1. Filters in the map itself, so texts aren't shuffled."""
 
     def keep(batches):
-        for part in slices(batches, "text"):
-            yield part.filter(pa.array(net.score(features_of(part.column("text").to_pylist())) >= THRESHOLD, pa.bool_()))
+        for part in slices(batches, "text", SLICE):
+            yield part.filter(pa.array(by_parts(net.score, part.column("text").to_pylist()) >= THRESHOLD, pa.bool_()))
 
     return documents.mapInArrow(keep, documents.schema)

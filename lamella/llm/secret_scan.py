@@ -1,8 +1,9 @@
 """Secret scan: fixed patterns, then structural confirmation of encoded candidates.
 
 Base spans come from three patterns. Further candidates (long base64 or hex runs, dotted tokens, PEM bodies) are
-decoded, and reported only when the bytes parse: DER private or public keys with consistent nested lengths, OpenSSH key
-containers, or signed tokens whose header is JSON naming an algorithm.
+decoded, and reported only when the bytes parse: DER private keys (plain or encrypted) with consistent nested lengths,
+OpenSSH private-key containers, or signed tokens whose header is JSON naming an algorithm. Public keys are no secrets and
+aren't reported. Patterns begin only where no character of their own kind stands before, so a scan is linear.
 """
 
 from __future__ import annotations
@@ -23,18 +24,25 @@ KINDS = ["assign", "access", "hex", "jwt", "pem", "der", "ssh"]
 ASSIGN = re.compile(r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: A token's header is base64 of an object: "{" and a quote or blank begins with eyJ, eyA, ewo, ewk or ew0.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])e[wy][A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
+#: Lines may end in escapes, as in JSON; header lines may stand before the body.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:\s|\\[nr])*+(?:[A-Za-z-]{1,40}: ?[A-Za-z0-9,. -]{1,200}(?:\s|\\[nr])++)*+)((?:[A-Za-z0-9+/=\s]|\\[nrt])++)-----END \1-----")
 #: Base64 of a DER sequence (0x30, length form 0x81/0x82 or a short length) or of an SSH container; hex of the former.
-CODED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3Bl|AAAA)[A-Za-z0-9+/_-]{36,}={0,2}|(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
+CODED = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M[A-P]|b3Bl)[A-Za-z0-9+/_-]{36,}+={0,2}|(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}+")
 #: Object identifiers of key algorithms, DER-encoded.
 KEY_OIDS = {
     bytes.fromhex("2a864886f70d010101"),  # rsaEncryption
     bytes.fromhex("2a8648ce3d0201"),  # ecPublicKey
-    bytes.fromhex("2b6570"),  # Ed25519
     bytes.fromhex("2b656e"),  # X25519
+    bytes.fromhex("2b656f"),  # X448
+    bytes.fromhex("2b6570"),  # Ed25519
+    bytes.fromhex("2b6571"),  # Ed448
+    bytes.fromhex("2a864886f70d010301"),  # Diffie-Hellman
     bytes.fromhex("2a8648ce380401"),  # DSA
 }
+#: Beginnings of the identifiers of password-based encryption (PKCS#5 and PKCS#12).
+ENCRYPTION_OIDS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -67,7 +75,7 @@ def der_items(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
 
 
 def is_key_der(data: bytes) -> bool:
-    """True if the bytes are one DER sequence shaped as PKCS#1, PKCS#8, SEC1 or SubjectPublicKeyInfo."""
+    """True if the bytes are one DER sequence shaped as a private key: PKCS#1, traditional DSA, SEC1, PKCS#8, encrypted PKCS#8."""
     top = der_items(data, 0, len(data))
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
@@ -76,40 +84,52 @@ def is_key_der(data: bytes) -> bool:
         return False
     tags = [t for t, _, _ in items]
     first = data[items[0][1] : items[0][2]]
-    if tags == [2] * 9 and first in (b"\0", b"\1"):  # PKCS#1 private key
-        return True
-    if tags == [2, 2] and items[0][2] - items[0][1] >= 64:  # PKCS#1 public key: modulus, exponent
+    if tags == [2] * 9 and first in (b"\0", b"\1"):  # PKCS#1
         return True
+    if tags == [2] * 6 and first == b"\0":  # DSA: version, p, q, g, public, private
+        return items[1][2] - items[1][1] >= 64
     if tags[:2] == [2, 4] and first == b"\1" and items[1][2] - items[1][1] in (28, 32, 48, 66):  # SEC1
         return True
-    algorithm = next((x for x in items[:2] if x[0] == 0x30), None)
-    if algorithm and (inner := der_items(data, *algorithm[1:])) and inner[0][0] == 6:
-        return data[inner[0][1] : inner[0][2]] in KEY_OIDS and (tags[:3] == [2, 0x30, 4] or tags == [0x30, 3])
+    if tags[:3] == [2, 0x30, 4] and first in (b"\0", b"\1"):  # PKCS#8
+        return oid_of(data, items[1]) in KEY_OIDS
+    if tags == [0x30, 4]:  # encrypted PKCS#8
+        return items[1][2] - items[1][1] >= 16 and oid_of(data, items[0]).startswith(ENCRYPTION_OIDS)
     return False
 
 
+def oid_of(data: bytes, item: tuple[int, int, int]) -> bytes:
+    """Object identifier that a sequence begins with; empty for none."""
+    inner = der_items(data, *item[1:])
+    return data[inner[0][1] : inner[0][2]] if inner and inner[0][0] == 6 else b""
+
+
 def is_ssh_key(data: bytes) -> bool:
-    """True for an openssh-key-v1 container, or a public key blob whose length-prefixed fields fill it exactly."""
+    """True for an openssh-key-v1 container: cipher, derivation and its options, a number of keys, so many public keys
+    and the private part, with lengths that fill it exactly."""
     magic = b"openssh-key-v1\0"
-    if data.startswith(magic):
-        at, fields = len(magic), 0
-        while fields < 3 and at + 4 <= len(data):
-            (n,) = struct.unpack_from(">I", data, at)
-            at += 4 + n
-            fields += 1
-        return fields == 3 and at + 4 <= len(data)
-    at, fields = 0, []
-    while at + 4 <= len(data):
-        (n,) = struct.unpack_from(">I", data, at)
-        if n > len(data) - at - 4:
+    if not data.startswith(magic):
+        return False
+    at, fields, keys = len(magic), 0, 0
+    while at < len(data):
+        if fields == 3 and not keys:
+            if at + 4 > len(data) or not (keys := struct.unpack_from(">I", data, at)[0]):
+                return False
+            at += 4
+            continue
+        if at + 4 > len(data):
             return False
-        fields.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    return at == len(data) and len(fields) >= 2 and re.fullmatch(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-nistp\d+)", fields[0]) is not None
+        at += 4 + struct.unpack_from(">I", data, at)[0]
+        fields += 1
+    return at == len(data) and keys > 0 and fields == 4 + keys
+
+
+def is_encrypted_pem(headers: str, data: bytes) -> bool:
+    """True for a traditional encrypted key: its headers name the cipher, and the body is whole cipher blocks."""
+    return "ENCRYPTED" in headers and "DEK-Info" in headers and len(data) >= 16 and len(data) % 8 == 0
 
 
 def unbase64(text: str) -> bytes | None:
-    body = re.sub(r"\s", "", text).rstrip("=").replace("-", "+").replace("_", "/")
+    body = re.sub(r"\s|\\[nrt]", "", text).rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
     try:
@@ -131,12 +151,12 @@ def is_signed_token(text: str) -> bool:
 def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     """Spans of candidates that decode and parse."""
     out = []
-    if "eyJ" in text:
+    if "ey" in text or "ew" in text:
         out += [(m.start(), "jwt", m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            data = unbase64(m[2])
-            if data and (is_key_der(data) or is_ssh_key(data)):
+            data = unbase64(m[3])
+            if data and (is_key_der(data) or is_ssh_key(data) or is_encrypted_pem(m[2], data)):
                 out.append((m.start(), "pem", m.end()))
     for m in CODED.finditer(text):
         s = m[0]
@@ -173,6 +193,6 @@ def scan_secrets(df: DataFrame) -> DataFrame:
     """One row per row of df (doc_id, text): counts of base spans, their digest, and all spans.
 
     Null and empty texts have no spans. Repeated rows give repeated results, a null doc_id stays null, other columns of
-    df are ignored. One map over the table: no shuffle, and memory bounded by a slice of texts.
+    df are ignored. A key inside PEM armour is reported as pem, and its body, where that parses alone, as der too. One map over the table: no shuffle, and memory bounded by a slice of texts.
     """
     return map_texts(df, scan_batch, "doc_id long,n_assign long,n_access long,n_hex long,base_sha256 string,spans string", ["doc_id", "text"])
