@@ -215,7 +215,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS,
     The bounds hold for the rows that gradients are taken of; the prior and the threshold come from all rows.
     """
     docs = open_rows(documents).where(F.col("text").isNotNull() & (F.length("text") <= chars))
-    good = labels.where("quality = 1").select("doc_id").where(crc_mod("doc_id", FOLDS) != HELD_OUT).groupBy("doc_id").count().select("doc_id")
+    good = labels.where("quality = 1").select("doc_id").where(crc_mod("doc_id", FOLDS) != HELD_OUT).groupBy("doc_id").count().select("doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
     # The ids are chosen first (two longs a row), then their texts are read.
     pick = lambda ids: ids.select("doc_id").withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(rows).select("doc_id")
     take = lambda ids: [(r.text, r.side) for r in docs.join(F.broadcast(pick(ids)), "doc_id").orderBy("doc_id").limit(rows).collect()]

@@ -23,8 +23,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    directory, folder = warc.archive_pages(spark, read(spark, sf_dir, "pages"))
-    return warc.read_archives(directory, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = read(spark, sf_dir, "pages")
+    return warc.read_pages(warc.archive_pages(spark, pages), pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

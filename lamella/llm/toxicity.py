@@ -24,7 +24,8 @@ BUCKETS = 1 << 14
 GRAMS = 12
 UNIT, UNIT_STEP = 12, 8
 THRESHOLD = 0.3
-LONG = 1 << 21
+LONG = 1 << 20
+SLICE = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,7 +46,7 @@ def stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def word_inputs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_inputs(texts: list[str | bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids (distinct, 1 + GRAMS) of word and character inputs, index of each word's row, words of each text).
 
     Words of more than UNIT bytes are cut into units of UNIT bytes every UNIT_STEP, each of which counts as a word; the
@@ -53,7 +54,7 @@ def word_inputs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     are beginnings of 3, 4, 5 and 6 bytes and the 4-grams from the second byte on, 0 where it is too short. Row 0
     stands for no word.
     """
-    data = [t.encode() + b" " for t in texts]
+    data = [(t if isinstance(t, bytes) else t.encode()) + b" " for t in texts]
     b = LOW[np.frombuffer(b"".join(data), np.uint8)]
     inside = WORD[b]
     edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
@@ -117,12 +118,15 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
-def stretches(text: str) -> list[str]:
-    """The text, or pieces of about LONG characters; each begins WINDOW words of up to 64 characters before the last one's end."""
-    if len(text) <= LONG:
-        return [text]
-    step = LONG - 64 * WINDOW
-    return [text[a : a + LONG] for a in range(0, len(text) - 64 * WINDOW, step)]
+def stretches(text: str):
+    """The text's bytes in pieces of at most LONG that end between words. (A word of more than LONG bytes is several.)"""
+    data, at = text.encode(), 0
+    while len(data) - at > LONG:
+        gaps = np.flatnonzero(~WORD[LOW[np.frombuffer(data, np.uint8, LONG, at)]])
+        end = at + (int(gaps[-1]) + 1 if len(gaps) else LONG)
+        yield data[at:end]
+        at = end
+    yield data[at:]
 
 
 class Network:
@@ -231,20 +235,41 @@ class Network:
             out[own[first]] = np.maximum(out[own[first]], np.maximum.reduceat(logit, first))
         return out
 
+    def long_logit(self, text: str) -> float:
+        """Highest window's logit of a text that is read in pieces. Windows are those of the whole text: what follows the
+        last window that surely has a next one is carried over to the next piece."""
+        best, held = -np.inf, np.zeros((0, 1 + GRAMS), np.int64)
+        for piece in stretches(text):
+            ids, row, _ = word_inputs([piece])
+            held = np.concatenate([held, ids[row]])
+            whole = max(0, -(-(len(held) - WINDOW) // STRIDE))
+            if whole:
+                best = max(best, self.highest(held, STRIDE * (whole - 1) + WINDOW))
+                held = held[STRIDE * whole :]
+        return max(best, self.highest(held, len(held)))
+
+    def highest(self, units: np.ndarray, n: int, part: int = 1 << 14) -> float:
+        """Highest window's logit of the first n units."""
+        vec = self.inputs(np.concatenate([np.zeros((1, 1 + GRAMS), np.int64), units[:n]]))
+        win, _ = windows(np.arange(1, n + 1), np.array([n]))
+        return max(float(self.forward(vec, win[a : a + part])[0].max()) for a in range(0, len(win), part))
+
     def score(self, texts: list[str]) -> np.ndarray:
-        """Texts beyond LONG characters go in stretches that overlap by a window's words, so memory stays bounded."""
-        parts, whose = [], []
-        for i, t in enumerate(texts):
-            own = stretches(t)
-            parts += own
-            whose += [i] * len(own)
+        """Texts beyond LONG characters are read in pieces, so memory stays bounded. Rounded to 6 places: the sums of one
+        text may end in other bits beside other texts."""
         out, at, held = np.full(len(texts), -np.inf), 0, 0
-        for k, p in enumerate(parts):
-            held += len(p)
-            if held >= LONG or k == len(parts) - 1:
-                np.maximum.at(out, whose[at : k + 1], self.logits(parts[at : k + 1]))
-                at, held = k + 1, 0
-        return sigmoid(np.clip(out, -30, 30))
+        for k, t in enumerate(texts):
+            if len(t) > LONG:
+                if at < k:
+                    out[at:k] = self.logits(texts[at:k])
+                out[k], at, held = self.long_logit(t), k + 1, 0
+                continue
+            held += len(t)
+            if held >= LONG or k == len(texts) - 1:
+                out[at : k + 1], at, held = self.logits(texts[at : k + 1]), k + 1, 0
+        if at < len(texts):
+            out[at:] = self.logits(texts[at:])
+        return np.round(sigmoid(np.clip(out, -30, 30)), 6)
 
 
 def marked_features(ids: np.ndarray, row: np.ndarray, per: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -325,6 +350,7 @@ def training_texts(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS
     """
     docs = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= chars))
     known = labels.where(F.col("toxic").isin(0, 1) & (crc_mod("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("_h", F.xxhash64("doc_id"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     some = known.where("toxic = 1").orderBy("_h", "doc_id").limit(rows).unionByName(known.where("toxic = 0").orderBy("_h", "doc_id").limit(rows))
     got = docs.join(F.broadcast(some), "doc_id").orderBy("_h", "doc_id").limit(2 * rows).select("text", "toxic").collect()
     return [r.text for r in got], [r.toxic for r in got]
@@ -334,7 +360,8 @@ def score_toxicity(documents: DataFrame, net: Network) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, from all overlapping windows of the whole text.
 
     Null and empty texts are one empty window, which has the bias's score. A null doc_id is not held out. Equal texts
-    score equally. One map over the table; memory is bounded by a slice of texts, the windows of one text in parts.
+    score equally up to the sixth place. One map over the table; memory is bounded by a slice of texts, and a long text is
+    read in pieces with the same windows.
     """
 
     def score(batch: pa.RecordBatch) -> dict:
@@ -343,7 +370,7 @@ def score_toxicity(documents: DataFrame, net: Network) -> DataFrame:
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": s, "predicted": (s >= THRESHOLD).astype(np.int32)}
 
     ready = documents.withColumn("held_out", F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False)))
-    return map_texts(ready, score, "doc_id long,held_out boolean,score double,predicted int", ["doc_id", "text", "held_out"])
+    return map_texts(ready, score, "doc_id long,held_out boolean,score double,predicted int", ["doc_id", "text", "held_out"], max_bytes=SLICE)
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Network:

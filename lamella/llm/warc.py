@@ -1,9 +1,10 @@
 """WARC archives with a two-level capture index.
 
 Each task writes one archive, a gzip member per record. Captures are then sorted by their reversed-host key
-(com,example)/path over the whole crawl. The index has two levels: blocks of sorted captures, compressed and appended
-to files, and a sparse directory with each block's first and last key and byte range. A lookup picks blocks by key
-range, binary-searches the directory, then the block, and reads one byte range of an archive for each capture.
+(com,example)/path and page over the whole crawl. The index has two levels: blocks of sorted captures, compressed and
+appended to a shard's file, and beside it the shard's sparse directory with each block's first key and byte range. A
+lookup binary-searches the shards' first keys, the shard's directory and the block, and reads a byte range of an archive
+for each capture. Many lookups go sorted, so that each block is opened once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import re
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
+from itertools import batched
+from operator import itemgetter
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, typed
+from .common import FEW, HOT_KEYS, Scratch, typed
 
 MIN_REVISIT = 100
 BLOCK_CAPTURES = 256
@@ -54,10 +57,10 @@ def clean(url: str | None) -> str:
     return "".join(c if 32 < ord(c) < 127 else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url or "")
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
-    """A gzip member with one response or revisit record. A revisit carries headers only, and the payload's length."""
+def record(page_id, url: str | None, payload: bytes, n: int, digest: str, refers_to) -> bytes:
+    """A gzip member with one response or revisit record. A revisit carries headers only, and the payload's length n."""
     revisit = refers_to is not None
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n
     body = http if revisit else http + payload
     head = [
         "WARC/1.1",
@@ -97,10 +100,11 @@ def open_folder(path: str):
 
 
 CAPTURES = "skey string,page_id long,archive string,offset long,length long,digest string"
-DIRECTORY = "shard string,first_key string,last_key string,block int,offset long,length long,captures int"
+SHARDS = "shard string,first_key string,first_page long,blocks int,captures long"
+NO_PAGE = -(1 << 63)  # stands for a null page_id in keys
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
+def write_archives(work: Scratch, pages: DataFrame, folder: str) -> DataFrame:
     """Writes archives into folder; returns one row per capture: key, page_id, archive and byte range.
 
     pages: page_id, url, html (null: empty). Of equal payloads of MIN_REVISIT bytes or more the smallest page_id is the
@@ -110,9 +114,19 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """
     html = F.coalesce("html", F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n"), "html")
-    same = keyed.where(F.col("n") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("_last")).where("first <> _last").drop("_last")
-    # The payloads' only exchange is this join's.
-    linked = keyed.join(same.hint("merge"), "digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first")))
+    same = keyed.where(F.col("n") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count(F.lit(1)).alias("c")).where("first <> last").drop("last")
+    same = work.table("same", same)
+    rows = same.agg(F.sum("c")).first()[0] or 0
+    # At most HOT_KEYS digests stand in more rows than this: they are broadcast, and their revisits travel without html.
+    hot = F.col("c") > max(FEW, rows // HOT_KEYS)
+    near = keyed.join(F.broadcast(same.where(hot).select("digest", F.col("first").alias("hot"))), "digest", "left")
+    # Of the rest only digests that can have revisits meet in the payloads' one exchange; other rows are dealt out evenly.
+    alone = F.col("hot").isNotNull() | (F.col("n") < MIN_REVISIT)
+    near = near.withColumn("key", F.when(alone, F.concat(F.lit("-"), F.xxhash64("page_id", "url", "digest").cast("string"))).otherwise(F.col("digest")))
+    near = near.withColumn("html", F.when(F.col("page_id") > F.col("hot"), None).otherwise(F.col("html")))
+    rest = same.where(~hot).select(F.col("digest").alias("key"), "first").hint("merge")
+    linked = near.join(rest, "key", "left").withColumn("first", F.coalesce("hot", "first"))
+    linked = linked.withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first")))
     columns = [x.split()[0] for x in CAPTURES.split(",")]
 
     def write(batches):
@@ -125,7 +139,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                     if out is None:
                         store.create_dir(path, recursive=True)
                         out = store.open_output_stream(f"{path}/{name}.warc.gz", compression=None)
-                    member = record(p["page_id"], p["url"], (p["html"] or "").encode(), p["digest"], p["refers_to"])
+                    member = record(p["page_id"], p["url"], (p["html"] or "").encode(), p["n"], p["digest"], p["refers_to"])
                     out.write(member)
                     rows.append((sort_key(p["url"]), p["page_id"], name, at, len(member), p["digest"]))
                     at += len(member)
@@ -135,34 +149,39 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             if out is not None:
                 out.close()
 
-    return linked.select("page_id", "url", "digest", "refers_to", "html").mapInArrow(typed(write, CAPTURES), CAPTURES)
+    return linked.select("page_id", "url", "digest", "n", "refers_to", "html").mapInArrow(typed(write, CAPTURES), CAPTURES)
+
+
+def place(skey: str, page_id: int | None) -> tuple[str, int]:
+    return skey, NO_PAGE if page_id is None else page_id
 
 
 def write_index(captures: DataFrame, folder: str, size: int = BLOCK_CAPTURES) -> DataFrame:
-    """Writes the sorted index of captures into folder as blocks of size; returns the sparse directory, a row a block."""
+    """Writes the sorted index of captures into folder, shard by shard: blocks of size captures and a sparse directory
+    of them. Returns a row a shard."""
     n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = captures.repartitionByRange(n, "skey", "page_id").sortWithinPartitions("skey", "page_id", "archive", "offset")
-    columns = [x.split()[0] for x in DIRECTORY.split(",")]
+    columns = [x.split()[0] for x in SHARDS.split(",")]
 
     def write(batches):
-        rows, entries, name, out, at = [], [], f"shard-{uuid.uuid4().hex}", None, 0
+        directory, entries, name, out, at, total = [], [], f"shard-{uuid.uuid4().hex}", None, 0, 0
         store, path = open_folder(folder)
 
         def flush():
-            nonlocal at, out
+            nonlocal at, out, total
             if out is None:
                 store.create_dir(path, recursive=True)
                 out = store.open_output_stream(f"{path}/{name}.idx", compression=None)
-            data = zlib.compress("\n".join(k + " " + json.dumps(e, separators=(",", ":")) for k, e in entries).encode(), 6)
+            data = zlib.compress("\n".join(json.dumps(e, separators=(",", ":")) for e in entries).encode(), 6)
             out.write(data)
-            rows.append((name, entries[0][0], entries[-1][0], len(rows), at, len(data), len(entries)))
-            at += len(data)
+            directory.append((*place(entries[0]["skey"], entries[0]["page_id"]), at, len(data)))
+            at, total = at + len(data), total + len(entries)
             entries.clear()
 
         try:
             for b in batches:
                 for c in b.to_pylist():
-                    entries.append((c.pop("skey"), c))
+                    entries.append(c)
                     if len(entries) == size:
                         flush()
             if entries:
@@ -170,20 +189,74 @@ def write_index(captures: DataFrame, folder: str, size: int = BLOCK_CAPTURES) ->
         finally:
             if out is not None:
                 out.close()
+        if directory:
+            with store.open_output_stream(f"{path}/{name}.dir", compression=None) as d:
+                d.write(zlib.compress(json.dumps(directory).encode(), 6))
+        rows = [(name, *directory[0][:2], len(directory), total)] if directory else []
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)] if rows else [pa.array([])] * len(columns), columns)
 
-    return ordered.mapInArrow(typed(write, DIRECTORY), DIRECTORY)
+    return ordered.mapInArrow(typed(write, SHARDS), SHARDS)
+
+
+class CaptureIndex:
+    """The index in folder. shards: (first key, name), sorted, one for each task that wrote; it travels with tasks. One
+    directory and one block are held at a time."""
+
+    def __init__(self, folder: str, shards: list[tuple[tuple[str, int], str]]):
+        self.folder, self.shards = folder, sorted(shards)
+        self.held: dict = {}
+
+    def __getstate__(self):
+        return {"folder": self.folder, "shards": self.shards, "held": {}}
+
+    def _once(self, kind: str, what, load):
+        if self.held.get(kind, (None,))[0] != what:
+            self.held[kind] = what, load()
+        return self.held[kind][1]
+
+    def directory(self, name: str) -> list[tuple[tuple[str, int], int, int]]:
+        """(first key, offset, length) of each block of a shard."""
+
+        def load():
+            store, path = open_folder(self.folder)
+            with store.open_input_file(f"{path}/{name}.dir") as f:
+                return [((k, p), at, n) for k, p, at, n in json.loads(zlib.decompress(f.read()))]
+
+        return self._once("directory", name, load)
+
+    def block(self, name: str, at: int, n: int) -> list[tuple[tuple[str, int], dict]]:
+        def load():
+            store, path = open_folder(self.folder)
+            with store.open_input_file(f"{path}/{name}.idx") as f:
+                data = zlib.decompress(f.read_at(n, at)).decode()
+            return [(place(e["skey"], e["page_id"]), e) for e in map(json.loads, data.split("\n"))]
 
+        return self._once("block", (name, at), load)
 
-def block_entries(data: bytes) -> list[tuple[str, dict]]:
-    return [(k, json.loads(e)) for k, _, e in (line.partition(" ") for line in zlib.decompress(data).decode().split("\n"))]
+    def entries(self, low: tuple[str, int], high: tuple[str, int]):
+        """Captures with keys from low to high, one after another, by binary search in shards, directory and block."""
+        first = itemgetter(0)
+        for _, name in self.shards[max(0, bisect_left(self.shards, low, key=first) - 1) : bisect_right(self.shards, high, key=first)]:
+            directory = self.directory(name)
+            for _, at, n in directory[max(0, bisect_left(directory, low, key=first) - 1) : bisect_right(directory, high, key=first)]:
+                block = self.block(name, at, n)
+                yield from (e for _, e in block[bisect_left(block, low, key=first) : bisect_right(block, high, key=first)])
 
+    def lookup(self, url: str):
+        """Records captured under url's key, one after another."""
+        key = sort_key(url)
+        store, path = open_folder(self.folder)
+        for some in batched(self.entries((key, NO_PAGE), (key, 1 << 63)), READ_ENTRIES):
+            for _, data in read_ranges(store, path, list(some)):
+                yield parse_record(data)
 
+
+READ_ENTRIES, READ_BYTES = 4096, 8 << 20
 RECORDS = "page_id long,payload_bytes long,payload_digest string,record_type string,refers_to long,url string"
 
 
 def read_ranges(store, path: str, entries: list[dict]):
-    """(entry, bytes) of each, archive by archive in order of offset; neighbours take one read."""
+    """(entry, bytes) of each, archive by archive in order of offset; neighbours take one read, of READ_BYTES or one record."""
     entries = sorted(entries, key=lambda e: (e["archive"], e["offset"]))
     i = 0
     while i < len(entries):
@@ -191,7 +264,7 @@ def read_ranges(store, path: str, entries: list[dict]):
             name = entries[i]["archive"]
             while i < len(entries) and entries[i]["archive"] == name:
                 k, end = i, entries[i]["offset"] + entries[i]["length"]
-                while k + 1 < len(entries) and entries[k + 1]["archive"] == name and entries[k + 1]["offset"] == end:
+                while k + 1 < len(entries) and entries[k + 1]["archive"] == name and entries[k + 1]["offset"] == end and end - entries[i]["offset"] < READ_BYTES:
                     k += 1
                     end += entries[k]["length"]
                 start = entries[i]["offset"]
@@ -201,56 +274,45 @@ def read_ranges(store, path: str, entries: list[dict]):
                 i = k + 1
 
 
-def read_archives(directory: DataFrame, folder: str) -> DataFrame:
-    """Every capture, by way of the index's blocks and range reads.
+def read_pages(index: CaptureIndex, pages: DataFrame) -> DataFrame:
+    """The captures of pages (page_id, url), each looked up in the index; a capture once, however often its page stands.
 
     A response's length and digest are computed from the payload read; a revisit's are those of its record.
     """
     columns = [x.split()[0] for x in RECORDS.split(",")]
 
-    def read(batches):
-        store, path = open_folder(folder)
+    def keys(batches):
         for b in batches:
-            for r in b.to_pylist():
-                with store.open_input_file(f"{path}/{r['shard']}.idx") as f:
-                    entries = block_entries(f.read_at(r["length"], r["offset"]))
-                rows = []
-                for e, data in read_ranges(store, path, [e for _, e in entries]):
-                    x = parse_record(data)
-                    stated = x["warc-payload-digest"].removeprefix("sha256:")
-                    revisit = x["warc-type"] == "revisit"
-                    digest = stated if revisit else hashlib.sha256(x["payload"]).hexdigest()
-                    if digest != stated or not revisit and len(x["payload"]) != x["http-length"]:
-                        raise ValueError(f"{e['archive']} at {e['offset']}: the payload isn't the one written")
-                    rows.append((page_of(x["warc-record-id"]), x["http-length"], digest, x["warc-type"], page_of(x["warc-refers-to"]) if revisit else None, x["warc-target-uri"]))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], columns)
-
-    n = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return directory.repartition(n, "shard", "block").mapInArrow(typed(read, RECORDS), RECORDS)
+            yield pa.RecordBatch.from_arrays([pa.array([sort_key(u) for u in b.column("url").to_pylist()], pa.string()), b.column("page_id")], ["skey", "page_id"])
 
+    def row(entry: dict, data: bytes) -> tuple:
+        x = parse_record(data)
+        stated = x["warc-payload-digest"].removeprefix("sha256:")
+        revisit = x["warc-type"] == "revisit"
+        digest = stated if revisit else hashlib.sha256(x["payload"]).hexdigest()
+        if digest != stated or not revisit and len(x["payload"]) != x["http-length"]:
+            raise ValueError(f"{entry['archive']} at {entry['offset']}: the payload isn't the one written")
+        return page_of(x["warc-record-id"]), x["http-length"], digest, x["warc-type"], page_of(x["warc-refers-to"]) if revisit else None, x["warc-target-uri"]
 
-def lookup(directory: DataFrame, folder: str, url: str) -> list[dict]:
-    """Records captured under url's key.
+    def read(batches):
+        store, path = open_folder(index.folder)
+        for b in batches:
+            wanted = (place(r["skey"], r["page_id"]) for r in b.to_pylist())
+            for some in batched((e for key in wanted for e in index.entries(key, key)), READ_ENTRIES):
+                rows = [row(e, data) for e, data in read_ranges(store, path, list(some))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], columns)
 
-    The directory's key ranges are a pushed-down filter, so only blocks of shards near the key come to the driver; then
-    binary searches in the directory and in each block, and a range read for each capture.
-    """
-    key = sort_key(url)
-    held = sorted(directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).collect(), key=lambda r: (r.first_key, r.shard, r.block))
-    held = held[: bisect_right(held, key, key=lambda r: r.first_key)]
-    store, path = open_folder(folder)
-    out = []
-    for r in held:
-        with store.open_input_file(f"{path}/{r.shard}.idx") as f:
-            entries = block_entries(f.read_at(r.length, r.offset))
-        keys = [k for k, _ in entries]
-        out += [parse_record(data) for _, data in read_ranges(store, path, [e for _, e in entries[bisect_left(keys, key) : bisect_right(keys, key)]])]
-    return out
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = pages.select("page_id", "url").mapInArrow(typed(keys, "skey string,page_id long"), "skey string,page_id long").distinct()
+    return wanted.repartitionByRange(n, "skey", "page_id").sortWithinPartitions("skey", "page_id").mapInArrow(typed(read, RECORDS), RECORDS)
 
 
-def archive_pages(spark: SparkSession, pages: DataFrame) -> tuple[DataFrame, str]:
-    """(directory table, folder): writes everything to the shared folder."""
+def archive_pages(spark: SparkSession, pages: DataFrame) -> CaptureIndex:
+    """Writes archives and index to the shared folder. Of the index only a name and a key a shard come to the driver,
+    and there are as many shards as tasks that write them."""
     work = Scratch(spark, "warc")
     folder = f"{work.path}/archives"
-    captures = work.table("captures", write_archives(pages, folder))
-    return work.table("directory", write_index(captures, folder)), folder
+    captures = work.table("captures", write_archives(work, pages, folder))
+    shards = work.table("shards", write_index(captures, folder)).collect()
+    work.drop("captures", "same")
+    return CaptureIndex(folder, [((r.first_key, r.first_page), r.shard) for r in shards])

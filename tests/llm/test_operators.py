@@ -464,14 +464,28 @@ def test_jaccard_brute_force(spark, rule):
     assert {tuple(x) for x in got} == want
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("few", [4096, 2])
+def test_warc(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "FEW", few)  # 2: the repeated payload takes the broadcast path
+    monkeypatch.setattr(warc.write_index, "__defaults__", (2,))
     same = "<html>" + "x" * 100
-    rows = [(2, "http://www.a.example.com/p?q=1", same), (1, "https://b.example.org", same), (3, None, "short"), (4, "http://[bad", None), (5, "http://b.example.org/", "short"), (6, "http://ü.example/é\r\nX: y", same)]
-    directory, folder = warc.archive_pages(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))
-    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(directory, folder).collect()}
-    assert got == {1: (106, "response", None), 2: (106, "revisit", 1), 3: (5, "response", None), 4: (0, "response", None), 5: (5, "response", None), 6: (106, "revisit", 1)}
-    assert {x["warc-record-id"] for x in warc.lookup(directory, folder, "http://b.example.org/")} == {"<urn:page:1>", "<urn:page:5>"}
+    rows = [(2, "http://www.a.example.com/p?q=1", same), (1, "https://b.example.org", same), (3, None, "short"), (4, "http://[bad", None), (5, "http://b.example.org/", "short"), (6, "http://\u00fc.example/\u00e9\r\nX: y", same), (None, "http://b.example.org/", same)]
+    rows += [(7 + i, "http://b.example.org/", f"{i % 3}" * 120) for i in range(9)] + [(6, *rows[5][1:])]
+    pages = spark.createDataFrame([(*x, 0) for x in rows], "page_id long, url string, html string, digest long")
+    index = warc.archive_pages(spark, pages)
+    want = []
+    for page, _, html in rows:
+        raw = (html or "").encode()
+        first = min([p for p, _, h in rows if p is not None and h == html], default=None) if len(raw) >= 100 else None
+        refers = first if page is not None and first is not None and first < page else None
+        want.append((str(page), len(raw), hashlib.sha256(raw).hexdigest(), "response" if refers is None else "revisit", refers))
+    got = [(str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_pages(index, pages).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sorted(x["warc-record-id"] for x in index.lookup("http://b.example.org/")) == sorted([f"<urn:page:{i}>" for i in (1, 5, *range(7, 16))] + ["<urn:page:>"])
+    assert not list(index.lookup("http://nowhere.example/")) and not list(index.lookup("http://zz.zz/"))
     assert warc.sort_key("http://www.Example.com:80/a") == "com,example)/a"
+    none = pages.where("page_id < -1")
+    assert warc.read_pages(warc.archive_pages(spark, none), none).count() == 0
 
 
 def test_classifiers(spark, docs):
@@ -509,6 +523,68 @@ def test_all_of_a_long_word_counts():
     assert (s[:30, None] > s[30:]).mean() > 0.8  # few rows to learn from, so in order rather than by the threshold
 
 
+def test_toxicity_in_pieces_and_by_plain_loops(monkeypatch):
+    """Long texts read in pieces have the windows of the whole; the network is a plain GRU with attention."""
+    r = np.random.default_rng(9)
+    net = toxicity.Network(4)
+    words = ["".join(r.choice(list("abcdefghijklmnop"), int(r.integers(1, 40)))) for _ in range(60)]
+    texts = [" ".join(r.choice(words, n)) for n in (1, 15, 16, 17, 24, 25, 200, 333)] + ["", "日本" * 90]
+    whole = net.score(texts)
+    for size in (61, 200, 997):
+        monkeypatch.setattr(toxicity, "LONG", size)
+        own = [t for t in texts if max(map(len, t.encode().split(b" "))) < size]  # a word of more is several
+        assert np.abs(net.score(own) - whole[[texts.index(t) for t in own]]).max() < 2e-6
+    monkeypatch.undo()
+    assert abs(net.score([texts[6]])[0] - net.score([texts[6], *texts])[0]) < 2e-6
+    h, p = toxicity.HIDDEN, net.p
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for t in texts[:7]:
+        ids, row, _ = toxicity.word_inputs([t])
+        best = -np.inf
+        for a in range(0, max(1, len(row) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+            xs = [sum(p["emb"][k] for k in ids[u]) for u in row[a : a + toxicity.WINDOW]]
+            sides = []
+            for d, seq in (("f", xs), ("b", xs[::-1])):
+                state, states = np.zeros(h), []
+                for x in seq:
+                    gx = x @ p[f"wx{d}"] + p[f"b{d}"]
+                    z, g = sig(gx[:h] + state @ p[f"wh{d}"][:, :h]), sig(gx[h : 2 * h] + state @ p[f"wh{d}"][:, h : 2 * h])
+                    state = z * state + (1 - z) * np.tanh(gx[2 * h :] + (g * state) @ p[f"wh{d}"][:, 2 * h :])
+                    states.append(state)
+                sides.append(states if d == "f" else states[::-1])
+            s = np.concatenate(sides, 1)
+            e = np.exp(np.tanh(s @ p["wa"]) @ p["va"])
+            best = max(best, float((e / e.sum()) @ s @ p["wo"] + p["bo"][0]))
+        assert abs(sig(best) - whole[texts.index(t)]) < 1e-5
+
+
+def test_quality_by_plain_loops():
+    """Features counted byte by byte; the gradient of the non-negative risk against differences."""
+    text = "Ab1 c,\n\nde  é é"
+    raw, f = text.encode(), quality.features("Ab1 c,\n\nde  é é")
+    for x in range(quality.N):
+        for y in range(quality.N):
+            n = sum(quality.CLASSES[a] == x and quality.CLASSES[b] == y for a, b in zip(raw, raw[1:]))
+            assert abs(f[x * quality.N + y] - np.log1p(1000 * n / len(raw))) < 1e-5
+    assert np.allclose(f[-6:], [np.log1p(5), 4 / 5, len(raw) / 5 / 10, np.log1p(3), 1, 0], atol=1e-6)
+    r = np.random.default_rng(2)
+    net = quality.Net(r.normal(size=(40, 9)).astype(np.float32), 1)
+    net.p = [w.astype(np.float64) for w in net.p]
+    z, d = r.normal(size=(30, 9)), r.normal(size=30)
+    h, _ = net.logits(z)
+    for w, g in zip(net.p, net.grads(z, h, d)):
+        at = tuple(0 for _ in w.shape)
+        out = []
+        for e in (1e-5, -1e-5):
+            w[at] += e
+            out.append(net.logits(z)[1] @ d)
+            w[at] -= e
+        assert abs((out[0] - out[1]) / 2e-5 - g[at]) < 1e-4
+    counts = np.bincount(quality.bin_of(np.array([-3.0] * 30 + [2.0] * 70)), minlength=quality.BINS)
+    assert -3 < quality.widest_split(counts) < 2
+    assert abs(quality.estimate_prior(quality.bin_of(np.full(50, 1.9)), counts) - 0.7) < 1e-9
+
+
 def test_gradients():
     net = toxicity.Network(3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
