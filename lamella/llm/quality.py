@@ -247,8 +247,12 @@ def train(documents: DataFrame, labels: DataFrame) -> Net:
 def keep_good(documents: DataFrame, net: Net) -> DataFrame:
     """Rows of documents, all columns, whose predicted is 1. Filters in the map itself, so texts aren't shuffled."""
 
+    # Numbered names: a map takes columns by name, and names may hold dots.
+    numbered = documents.toDF(*[f"c{i}" for i in range(len(documents.columns))])
+    text = f"c{documents.columns.index('text')}"
+
     def keep(batches):
-        for part in slices(batches, "text", SLICE):
-            yield part.filter(pa.array(by_parts(net.score, part.column("text").to_pylist()) >= THRESHOLD, pa.bool_()))
+        for part in slices(batches, text, SLICE):
+            yield part.filter(pa.array(by_parts(net.score, part.column(text).to_pylist()) >= THRESHOLD, pa.bool_()))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return numbered.mapInArrow(keep, numbered.schema).toDF(*documents.columns)
