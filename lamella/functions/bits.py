@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -248,26 +250,27 @@ def select_bytes(x: Column, y: Column, selector: int) -> Column:
 def crc32c(data: Column) -> Column:
     """CRC-32C (reflected polynomial 0x82F63B78) of a BINARY column, as BIGINT: Spark's own crc32 has another polynomial.
 
-    An Arrow-batched function with a byte table made from the polynomial.
+    An Arrow-batched function: a byte table made from the polynomial, and all values of a batch a byte at a time.
     """
-    import pandas as pd
 
     @F.pandas_udf("bigint")
     def run(values: pd.Series) -> pd.Series:
-        table = []
-        for n in range(256):
-            for _ in range(8):
-                n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
-            table.append(n)
-
-        def one(v):
-            if v is None:
-                return None
-            c = 0xFFFFFFFF
-            for b in v:
-                c = c >> 8 ^ table[(c ^ b) & 255]
-            return c ^ 0xFFFFFFFF
-
-        return values.map(one).astype("Int64")
+        table = np.arange(256, dtype=np.uint32)
+        for _ in range(8):
+            table = np.where(table & 1, table >> 1 ^ np.uint32(0x82F63B78), table >> 1).astype(np.uint32)
+        there = values.notna().to_numpy()
+        raw = [bytes(v) for v in values[there]]
+        sizes = np.array([len(v) for v in raw], np.int64)
+        # Longest first, so that those with a next byte are always the first ones.
+        order = np.argsort(-sizes, kind="stable")
+        flat, start = np.frombuffer(b"".join(raw), np.uint8), (np.cumsum(sizes) - sizes)[order]
+        left, c = np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0))), "left"), np.full(len(raw), 0xFFFFFFFF, np.uint32)
+        for k, n in enumerate(left):
+            c[:n] = c[:n] >> 8 ^ table[(c[:n] ^ flat[start[:n] + k]) & 255]
+        got = np.empty(len(raw), np.int64)
+        got[order] = c ^ np.uint32(0xFFFFFFFF)
+        out = pd.Series(pd.NA, index=values.index, dtype="Int64")
+        out[there] = got
+        return out
 
     return run(data)

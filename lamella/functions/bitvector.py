@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bits as B
@@ -77,13 +77,12 @@ def take(vector: DataFrame, first_word: int, words: int) -> DataFrame:
 
 
 def rank(vector: DataFrame, positions: DataFrame) -> DataFrame:
-    """(pos, rank): set bits before each position."""
+    """(pos, rank): set bits before each position; absent words are zero."""
     from ..operators.scan import exclusive_prefix
 
-    counts = vector.withColumn("n", F.bit_count("bits").cast("bigint")).withColumn("seg", F.expr("word div 1024"))
+    words = vector.select("word", "bits").unionByName(positions.select(F.expr(f"pos div {WIDTH}").cast("bigint").alias("word"), F.lit(0).cast("bigint").alias("bits")))
+    counts = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).withColumn("n", F.bit_count("bits").cast("bigint")).withColumn("seg", F.expr("word div 1024"))
     upper = exclusive_prefix(counts.groupBy("seg").agg(F.sum("n").alias("total")))
-    from pyspark.sql import Window
-
     own = F.sum("n").over(Window.partitionBy("seg").orderBy("word").rowsBetween(Window.unboundedPreceding, -1))
     before = counts.withColumn("own", own).join(upper, "seg").select("word", "bits", (F.coalesce("own", F.lit(0)) + F.coalesce("before", F.lit(0))).alias("before"))
     rows = positions.select("pos", F.expr(f"pos div {WIDTH}").alias("word")).join(before, "word")

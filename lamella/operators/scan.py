@@ -42,14 +42,62 @@ def seg(length: int, pos: str = "pos") -> Column:
     return F.expr(f"{pos} div {length}")
 
 
+def times(of: Word | None) -> Callable[[Column, Column], Column]:
+    """Product of two wide values: modulo the word, or exact in DECIMAL(38, 0), where an overflow is an error."""
+    if of is None:
+        return lambda a, b: (a.cast("decimal(38,0)") * b.cast("decimal(38,0)")).cast("decimal(38,0)")
+    word = Word(of.size)  # unsigned in between; the sign comes with the last wrap
+    if of.size <= 4:
+        return lambda a, b: wrap((wrap(a, word).cast("decimal(11,0)") * wrap(b, word).cast("decimal(11,0)")).cast("decimal(38,0)") % F.lit(1 << of.bits).cast("decimal(11,0)"), word).cast("bigint")
+    half, m = F.lit(1 << 32).cast("decimal(20,0)"), F.lit(str(1 << of.bits)).cast("decimal(38,0)")
+
+    def mul(a: Column, b: Column) -> Column:
+        # a * b = a_low * b + ((a_high * b) mod 2^32) * 2^32 and so on: every part stays under 2^97.
+        a, b = wrap(a, word).cast("decimal(20,0)"), wrap(b, word).cast("decimal(20,0)")
+        low = lambda x: F.pmod(x, half).cast("decimal(10,0)")
+        high = lambda x: F.floor(x / half).cast("decimal(10,0)")
+        cross = F.pmod((low(a) * high(b)).cast("decimal(21,0)") + (high(a) * low(b)).cast("decimal(21,0)"), half).cast("decimal(10,0)")
+        return F.pmod((low(a) * low(b)).cast("decimal(38,0)") + (cross * half).cast("decimal(38,0)"), m).cast("decimal(38,0)")
+
+    return mul
+
+
 def _over(name: str, col: Column, window=None) -> Column:
-    """The aggregate, plain or over a window. Products are folded from the window's values, in DECIMAL(38, 0)."""
+    """The aggregate, plain or over a window."""
     agg, _ = _op(name)
-    if agg:
-        return agg(col) if window is None else agg(col).over(window)
-    values = F.collect_list(col.cast("decimal(38,0)"))
-    values = values if window is None else values.over(window)
-    return F.aggregate(values, F.lit(1).cast("decimal(38,0)"), lambda a, v: (a * v).cast("decimal(38,0)"))
+    return agg(col) if window is None else agg(col).over(window)
+
+
+def _few_products(col: Column, of: Word | None) -> Column:
+    """Aggregate for groups of a bounded number of values: their product, by a fold."""
+    return F.aggregate(F.collect_list(col.cast("decimal(38,0)")), F.lit(1).cast("decimal(38,0)"), lambda a, v: times(of)(a, v).cast("decimal(38,0)"))
+
+
+def _running_products(rows: DataFrame, col: str, key: str, order: str, most: int, of: Word | None) -> DataFrame:
+    """rows with own, the inclusive product by key of at most `most` rows: doubling steps over one sorted partition, in
+    each of which a row takes in the product that ends where its own begins."""
+    by, out = Window.partitionBy(key).orderBy(order), rows.withColumn("own", F.col(col).cast("decimal(38,0)"))
+    step = 1
+    while step < most:
+        out = out.withColumn("own", times(of)(F.col("own"), F.coalesce(F.lag("own", step).over(by), F.lit(1).cast("decimal(38,0)"))).cast("decimal(38,0)"))
+        step *= 2
+    return out
+
+
+def _with_running(rows: DataFrame, op: str, length: int, inclusive: bool, of: Word | None) -> DataFrame:
+    """rows (seg, pos, value) with own, the prefix in the segment; null for an exclusive scan's first."""
+    by = Window.partitionBy("seg").orderBy("pos")
+    if op != "product":
+        return rows.withColumn("own", _running(op, F.col("value"), by, inclusive))
+    out = _running_products(rows, "value", "seg", "pos", length, of)
+    return out if inclusive else out.withColumn("own", F.lag("own").over(by))
+
+
+def _totals(rows: DataFrame, op: str, length: int, of: Word | None) -> DataFrame:
+    """(seg, total)"""
+    if op != "product":
+        return rows.groupBy("seg").agg(_over(op, F.col("value")).alias("total"))
+    return _running_products(rows, "value", "seg", "pos", length, of).groupBy("seg").agg(F.max_by("own", "pos").alias("total"))
 
 
 def _prepared(df: DataFrame, op: str, pre: Callable | None, of: Word | None) -> DataFrame:
@@ -66,7 +114,7 @@ def segmented_reduce(df: DataFrame, length: int, op: str, pre: Callable | None =
 
     segments: also gives segments without rows, with the operation's neutral value.
     """
-    out = _prepared(df, op, pre, of).groupBy(seg(length).alias("seg")).agg(_done(_over(op, F.col("value")), op, of).alias("value"))
+    out = _totals(_prepared(df, op, pre, of).withColumn("seg", seg(length)), op, length, of).select("seg", _done(F.col("total"), op, of).alias("value"))
     if segments is None:
         return out
     kind = out.schema["value"].dataType
@@ -81,41 +129,51 @@ def _running(op: str, col: Column, by, inclusive: bool) -> Column:
 def segment_scan(df: DataFrame, length: int, op: str = "sum", inclusive: bool = True, pre: Callable | None = None, of: Word | None = None) -> DataFrame:
     """(pos, value): prefix reduction inside each segment; an exclusive scan starts with the neutral value."""
     rows = _prepared(df, op, pre, of).withColumn("seg", seg(length))
-    got = _running(op, F.col("value"), Window.partitionBy("seg").orderBy("pos"), inclusive)
-    return rows.select("pos", _done(F.coalesce(got, F.lit(neutral(op, of))), op, of).alias("value"))
+    return _with_running(rows, op, length, inclusive, of).select("pos", _done(F.coalesce("own", F.lit(neutral(op, of))), op, of).alias("value"))
 
 
 def exclusive_prefix(totals: DataFrame, op: str = "sum", levels: int = 2, of: Word | None = None) -> DataFrame:
     """(seg, total) to (seg, before): reduction of all earlier segments, null for none."""
     _, combine = _op(op)
-    if not levels:
-        return totals.select("seg", _running(op, F.col("total"), Window.partitionBy(F.lit(0)).orderBy("seg"), False).alias("before"))
+    if op == "product":
+        combine = times(of)
+    if not levels:  # one row for each FAN * FAN segments
+        by = Window.partitionBy(F.lit(0)).orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+        if op == "product":
+            before = F.aggregate(F.collect_list(F.col("total").cast("decimal(38,0)")).over(by), F.lit(1).cast("decimal(38,0)"), lambda a, v: times(of)(a, v).cast("decimal(38,0)"))
+            return totals.select("seg", before.alias("before"))
+        return totals.select("seg", _over(op, F.col("total"), by).alias("before"))
     rows = totals.withColumn("grp", F.expr(f"seg div {FAN}"))
-    upper = exclusive_prefix(rows.groupBy(F.col("grp").alias("seg")).agg(_over(op, F.col("total")).alias("total")), op, levels - 1, of)
-    own = _running(op, F.col("total"), Window.partitionBy("grp").orderBy("seg"), False)
-    if op == "product":  # an empty fold gives 1 already
-        both = combine(F.col("own"), F.coalesce("up", F.lit(1)))
+    if op == "product":
+        held = _running_products(rows, "total", "grp", "seg", FAN, of)
+        groups = held.groupBy(F.col("grp").alias("seg")).agg(F.max_by("own", "seg").alias("total"))
+        rows = held.withColumn("own", F.lag("own").over(Window.partitionBy("grp").orderBy("seg")))
     else:
-        both = F.when(F.col("own").isNull(), F.col("up")).when(F.col("up").isNull(), F.col("own")).otherwise(combine(F.col("own"), F.col("up")))
-    return rows.withColumn("own", own).join(upper.select(F.col("seg").alias("grp"), F.col("before").alias("up")), "grp").select("seg", both.alias("before"))
+        groups = rows.groupBy(F.col("grp").alias("seg")).agg(_over(op, F.col("total")).alias("total"))
+        rows = rows.withColumn("own", _running(op, F.col("total"), Window.partitionBy("grp").orderBy("seg"), False))
+    upper = exclusive_prefix(groups, op, levels - 1, of).select(F.col("seg").alias("grp"), F.col("before").alias("up"))
+    both = F.when(F.col("own").isNull(), F.col("up")).when(F.col("up").isNull(), F.col("own")).otherwise(combine(F.col("own"), F.col("up")))
+    return rows.join(upper, "grp").select("seg", both.alias("before"))
 
 
 def two_phase_scan(df: DataFrame, length: int, op: str = "sum", inclusive: bool = True, pre: Callable | None = None, of: Word | None = None) -> DataFrame:
     """(pos, value): prefix reduction over the whole column, by segments of the given length."""
     _, combine = _op(op)
+    if op == "product":
+        combine = times(of)
     rows = _prepared(df, op, pre, of).withColumn("seg", seg(length))
-    before = exclusive_prefix(rows.groupBy("seg").agg(_over(op, F.col("value")).alias("total")), op, of=of)
-    own = _running(op, F.col("value"), Window.partitionBy("seg").orderBy("pos"), inclusive)
+    before = exclusive_prefix(_totals(rows, op, length, of), op, of=of)
     both = F.when(F.col("own").isNull(), F.col("before")).when(F.col("before").isNull(), F.col("own")).otherwise(combine(F.col("own"), F.col("before")))
-    return rows.join(before, "seg").withColumn("own", own).select("pos", _done(F.coalesce(both, F.lit(neutral(op, of))), op, of).alias("value"))
+    return _with_running(rows, op, length, inclusive, of).join(before, "seg").select("pos", _done(F.coalesce(both, F.lit(neutral(op, of))), op, of).alias("value"))
 
 
 def scan_and_reduce(df: DataFrame, length: int, op: str = "sum", inclusive: bool = True, of: Word | None = None) -> DataFrame:
     """(pos, value, total): prefix in the segment, and the segment's reduction, for every element."""
-    rows = _prepared(df, op, None, of).withColumn("seg", seg(length))
+    rows = _with_running(_prepared(df, op, None, of).withColumn("seg", seg(length)), op, length, True if op == "product" else inclusive, of)
     by = Window.partitionBy("seg")
-    got = F.coalesce(_running(op, F.col("value"), by.orderBy("pos"), inclusive), F.lit(neutral(op, of)))
-    return rows.select("pos", _done(got, op, of).alias("value"), _done(_over(op, F.col("value"), by), op, of).alias("total"))
+    total = F.last("own").over(by.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) if op == "product" else _over(op, F.col("value"), by)
+    own = F.col("own") if inclusive or op != "product" else F.lag("own").over(by.orderBy("pos"))
+    return rows.select("pos", _done(F.coalesce(own, F.lit(neutral(op, of))), op, of).alias("value"), _done(total, op, of).alias("total"))
 
 
 def elementwise(df: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
@@ -124,7 +182,7 @@ def elementwise(df: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
 
 def elementwise_accumulate(x: DataFrame, y: DataFrame, op: str) -> DataFrame:
     """x combined with y at the same positions; positions that only one of them has keep their value."""
-    return x.select("pos", "value").unionByName(y.select("pos", "value")).groupBy("pos").agg(_over(op, F.col("value")).alias("value"))
+    return x.select("pos", "value").unionByName(y.select("pos", "value")).groupBy("pos").agg((_few_products(F.col("value"), None) if op == "product" else _over(op, F.col("value"))).alias("value"))
 
 
 def multisearch(needles: DataFrame, straws: DataFrame) -> DataFrame:

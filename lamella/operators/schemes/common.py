@@ -38,6 +38,13 @@ def check_word(column: EncodedColumn, name: str = "word"):
     return word(column.param(name))
 
 
+def anchor_bounds(anchors: DataFrame, lo: int, hi: int, length: int):
+    """The anchors of the first segment of lo..hi and of the one behind the last (None where there is none): two rows."""
+    ends = lo // length, max(lo, hi - 1) // length + 1
+    found = {r["seg"]: r for r in anchors.where(F.col("seg").isin(*ends)).collect()}
+    return tuple(found.get(s) for s in ends)
+
+
 def expand_runs(runs: DataFrame, length: int, chunk: int) -> DataFrame:
     """(pos, value) of runs (start, end, value): each run is cut at multiples of chunk before it is expanded, and the
     pieces dealt out anew, so that a long run is many tasks' work and never one array."""

@@ -6,22 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...encoded import EncodedColumn
+from ...sources.store import numbered
 from ...types import EncodingError, Word
 from .common import in_range, window_of
 
 
+FEW = 1 << 16  # entries that are numbered in one task; more are numbered by ranges
+
+
 def build(values: DataFrame, limit: int) -> DataFrame:
-    """(code, value) of the distinct values in order. More than limit of them is an error, so the table stays small."""
+    """(code, value) of the distinct values in order. More than limit of them, what a code can hold, is an error."""
     distinct = values.select("value").distinct()
-    if distinct.limit(limit + 1).count() > limit:
+    n = distinct.count()
+    if n > limit:
         raise EncodingError(f"dictionary: more than {limit} values")
+    if n > FEW:
+        return numbered(distinct, "value").select(F.col("pos").alias("code"), "value")
     return distinct.select((F.row_number().over(Window.orderBy("value")) - 1).cast("bigint").alias("code"), "value")
 
 
-def encode(df: DataFrame, length: int, stored: Word) -> EncodedColumn:
-    entries = build(df, min(1 << stored.bits, 1 << 20))
+def encode(df: DataFrame, length: int, stored: Word, of: Word | None = None) -> EncodedColumn:
+    """of: the values' word, where they are machine words."""
+    entries = build(df, 1 << stored.bits)
     codes = df.join(entries, df["value"].eqNullSafe(entries["value"])).select("pos", F.col("code").cast(stored.spark()).alias("code"))
-    return EncodedColumn("dictionary", length, {"stored": stored.name}, {"compressed_input": codes, "dictionary_entries": entries})
+    return EncodedColumn("dictionary", length, {"stored": stored.name} | ({"word": of.name} if of else {}), {"compressed_input": codes, "dictionary_entries": entries})
 
 
 def decode(column: EncodedColumn, lo: int | None = None, hi: int | None = None, strict: bool = True) -> DataFrame:

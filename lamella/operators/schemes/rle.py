@@ -9,7 +9,7 @@ from ...encoded import EncodedColumn
 from ...types import Word
 from ..layout import run_starts
 from ..scan import exclusive_prefix
-from .common import expand_runs, in_range, in_segments, of_segment, window_of
+from .common import anchor_bounds, expand_runs, in_range, in_segments, of_segment, window_of
 
 
 def segment_runs(df: DataFrame, segment_length: int) -> DataFrame:
@@ -34,8 +34,8 @@ def encode(df: DataFrame, length: int, segment_length: int, lengths: Word) -> En
 
 
 def decode(column: EncodedColumn, lo: int | None = None, hi: int | None = None) -> DataFrame:
-    """With anchors, runs meet the segments they reach, and sums stay inside a segment. Without, starts are sums over
-    all runs, in levels."""
+    """With anchors, runs meet the segments they reach, and sums stay inside a segment; of a part of the column the anchors
+    give the first and the last run, so no others are read. Without anchors, starts are sums over all runs, in levels."""
     n = column.segment_length()
     lo, hi = window_of(column, lo, hi)
     runs = column.part("runs", "run", "value", "length").withColumn("length", F.col("length").cast("bigint"))
@@ -45,6 +45,11 @@ def decode(column: EncodedColumn, lo: int | None = None, hi: int | None = None)
             placed = placed.where((F.col("end") > lo) & (F.col("start") < hi))
         return in_range(expand_runs(placed, column.length, n), lo, hi, column.length)
     anchors = column.part("anchors", "seg", "run", "intra_run_offset")
+    if (lo, hi) != (0, column.length):
+        first, upper = anchor_bounds(anchors, lo, hi, n)
+        runs = runs.where(F.col("run") >= (first["run"] if first else 0))
+        if upper:
+            runs = runs.where(F.col("run") <= upper["run"])
     following = anchors.select((F.col("seg") - 1).alias("seg"), F.col("run").alias("next"), F.col("intra_run_offset").alias("next_offset"))
     spans = in_segments(anchors, lo, hi, n, column.length).join(following, "seg", "left")
     last = runs.agg(F.max("run").alias("_last"))

@@ -102,11 +102,11 @@ def standard() -> Registry:
                 add(f"delta/{u(wide)}/{u(narrow)}", delta.decode, {"compressed_input": ("pos", "delta"), "anchor_values": ("seg", "anchor")}, ("segment_length", "word"), word=u(wide), stored=u(narrow), index=i)
                 add(f"dzb_fixed/{u(wide)}/{u(narrow)}", dzb_fixed.decode, {"compressed_input": ("pos", "v")}, ("word", "stored"), word=u(wide), stored=u(narrow), index=i)
             for narrow in (n for n in sizes if n <= wide):
-                add(f"dictionary/{u(wide)}/{u(narrow)}", dictionary.decode, {"compressed_input": ("pos", "code"), "dictionary_entries": ("code", "value")}, stored=u(narrow), index=i)
+                add(f"dictionary/{u(wide)}/{u(narrow)}", dictionary.decode, {"compressed_input": ("pos", "code"), "dictionary_entries": ("code", "value")}, word=u(wide), stored=u(narrow), index=i)
             for places in sizes:
                 add(f"scatter/{u(wide)}/{u(places)}", _scatter, {"target": ("pos", "value"), "patch": ("pos", "value")}, index=i)
                 add(f"compressed_indices_scatter/{u(wide)}/{u(places)}", _compressed, {"target": ("pos", "value"), "data": ("p", "value"), "runs": ("run", "length", "offset_bits", "baseline", "offsets_start"), "offset_bytes": ("chunk", "bytes")}, index=i)
-    parts = {"compressed_data": ("seg", "bytes"), "packed_element_sizes": ("container", "word"), "position_anchors": ("seg", "byte_offset")}
+    parts = {"compressed_data": ("bytes",), "packed_element_sizes": ("container", "word"), "position_anchors": ("seg", "byte_offset")}
     for wide in (2, 4, 8):
         for container, i in ((4, 4), (4, 8), (8, 4)):
             add(f"dzb_variable/{u(wide)}/container{container}", dzb_variable.decode, parts, ("segment_length", "word", "min_represented_element_size", "bits_per_element_size"), word=u(wide), index=i)

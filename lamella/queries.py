@@ -12,11 +12,11 @@ from .encoded import EncodedColumn
 from .functions import bits as B
 from .functions import bitvector as BV
 from .functions import scalar as S
-from .operators import layout, scan
+from .operators import groups, layout, scan
 from .operators.schemes import bitmaps, delta, dictionary, dzb_fixed, dzb_variable, frame_of_reference, model, rle, rpe
 from .plans.registry import REGISTRY
 from .sources.store import column, numbered
-from .types import I16, I32, U8, U16, U32, U64, wrap
+from .types import I16, I32, U8, U16, U32, U64, nearly_equal, wrap
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -204,12 +204,16 @@ def rle_expand(spark, d):
     return rle.decode(EncodedColumn("rle", n, {"segment_length": 256}, {"runs": runs}))
 
 
-@query(RUNS)
-def rle_anchored(spark, d):
+def _anchored(spark, d) -> EncodedColumn:
     runs, n = _starts(spark, d)
     hit = runs.withColumn("seg", F.explode(F.sequence(F.expr("start div 256"), F.expr("(start + length - 1) div 256"))))
     anchors = hit.groupBy("seg").agg(F.min_by("run", "start").alias("run"), F.min("start").alias("s")).select("seg", "run", F.greatest(F.col("seg") * 256 - F.col("s"), F.lit(0)).alias("intra_run_offset"))
-    return rle.decode(EncodedColumn("rle", n, {"segment_length": 256}, {"runs": runs.select("run", "value", "length"), "anchors": anchors}))
+    return EncodedColumn("rle", n, {"segment_length": 256}, {"runs": runs.select("run", "value", "length"), "anchors": anchors})
+
+
+@query(RUNS)
+def rle_anchored(spark, d):
+    return rle.decode(_anchored(spark, d))
 
 
 @query("select count(*) as n, sum(value) as total, min(value) as low, max(value) as high from (" + RUNS + ")")
@@ -300,14 +304,97 @@ for _op in ("sum", "max", "min", "bit_xor"):
     for _incl in (True, False):
         def _scan(spark, d, op=_op, incl=_incl):
             df, _ = col(spark, d, "events", "event_id", F.round(F.col("value") * 100).cast("bigint"))
-            out = scan.two_phase_scan(df, 500, op, incl)
-            return long(out) if incl or op in ("sum", "bit_xor") else long(out).where("pos > 0")
+            return long(scan.two_phase_scan(df, 500, op, incl))
 
         _n = f"scan_{'incl' if _incl else 'excl'}_{_op}"
         QUERIES[_n] = _scan
         _frame = "unbounded preceding and current row" if _incl else "unbounded preceding and 1 preceding"
         _agg = f"{_op}(v)" if _op != "bit_xor" else "bit_xor(v)"
-        SQL[_n] = f"select * from (select event_id as pos, cast(coalesce({_agg} over (order by event_id rows between {_frame}), 0) as bigint) as value from (select event_id, {EVENT} as v from events)) {'' if _incl or _op in ('sum', 'bit_xor') else 'where pos > 0'}"
+        _neutral = {"min": "9223372036854775807", "max": "-9223372036854775808"}.get(_op, "0")
+        SQL[_n] = f"select event_id as pos, cast(coalesce({_agg} over (order by event_id rows between {_frame}), {_neutral}) as bigint) as value from (select event_id, {EVENT} as v from events)"
+
+
+for _op in ("bit_and", "bit_or", "logical_and", "logical_or"):
+    for _incl in (True, False):
+        def _scan_more(spark, d, op=_op, incl=_incl):
+            v = {"logical_and": F.col("p_size") > 2, "logical_or": F.col("p_size") > 48}.get(op, F.col("p_size").cast("bigint").bitwiseOR(F.when(F.col("p_partkey") < 900, 1024).otherwise(0)))
+            return long(scan.two_phase_scan(column(table(spark, d, "part"), "p_partkey", v), 64, op, incl))
+
+        _n = f"scan_{'incl' if _incl else 'excl'}_{_op}"
+        QUERIES[_n] = _scan_more
+        _agg = {"logical_and": "bool_and(p_size > 2)", "logical_or": "bool_or(p_size > 48)"}.get(_op, f"{_op}(p_size | case when p_partkey < 900 then 1024 else 0 end)")
+        _neutral = {"logical_and": "true", "logical_or": "false", "bit_and": "-1", "bit_or": "0"}[_op]
+        SQL[_n] = f"select p_partkey as pos, cast(coalesce({_agg} over (order by p_partkey rows between unbounded preceding and {'current row' if _incl else '1 preceding'}), {_neutral}) as bigint) as value from part"
+
+FACTOR = "cast(p_size * 1009 + 7 as hugeint)"
+factors = lambda spark, d: col(spark, d, "part", "p_partkey", F.col("p_size").cast("bigint") * 1009 + 7)[0]
+
+
+def _product_sql(bits: int, over: str) -> str:
+    """Products modulo 2^bits of what a window lists, by a fold; 1 for nothing."""
+    return f"select p_partkey as pos, cast(coalesce(list_reduce(list_prepend(cast(1 as hugeint), list({FACTOR}) over ({over})), lambda a, b: (a * b) % {1 << bits}), 1) as {'bigint' if bits < 64 else 'varchar'}) as value from part"
+
+
+for _w in (U8, U32, U64):
+    def _products(kind, w=_w):
+        def run(spark, d):
+            f, exact = factors(spark, d), lambda df: df.withColumn("value", F.col("value").cast("bigint" if w.bits < 64 else "string"))
+            if kind == "reduce":
+                return exact(scan.segmented_reduce(f, 64, "product", of=w))
+            if kind == "segment":
+                return exact(scan.segment_scan(f, 64, "product", inclusive=False, of=w))
+            return exact(scan.two_phase_scan(f, 50, "product", inclusive=kind == "incl", of=w))
+
+        return run
+
+    for _kind, _over_sql in (("incl", "order by p_partkey"), ("excl", "order by p_partkey rows between unbounded preceding and 1 preceding"), ("segment", "partition by p_partkey // 64 order by p_partkey rows between unbounded preceding and 1 preceding")):
+        _n = f"{'segment_scan' if _kind == 'segment' else 'scan_' + _kind}_product_{_w.name}"
+        QUERIES[_n], SQL[_n] = _products(_kind), _product_sql(_w.bits, _over_sql)
+    QUERIES[f"seg_reduce_product_{_w.name}"] = _products("reduce")
+    SQL[f"seg_reduce_product_{_w.name}"] = f"select p_partkey // 64 as seg, cast(list_reduce(list({FACTOR} order by p_partkey), lambda a, b: (a * b) % {1 << _w.bits}) % {1 << _w.bits} as {'bigint' if _w.bits < 64 else 'varchar'}) as value from part group by 1"
+
+
+@query(f"select pos, value, cast(list_reduce(l, lambda a, b: (a * b) % {1 << 32}) as bigint) as total from ({_product_sql(32, 'partition by p_partkey // 64 order by p_partkey')}) join (select p_partkey // 64 as g, list({FACTOR}) as l from part group by 1) on g = pos // 64")
+def scan_and_reduce_product(spark, d):
+    return long(scan.scan_and_reduce(factors(spark, d), 64, "product", of=U32)).withColumn("total", F.col("total").cast("bigint"))
+
+
+def _range(sql: str, lo: int, hi: int) -> str:
+    return f"select * from ({sql}) where pos >= {lo} and pos < {hi}"
+
+
+@query(_range(TYPES, 3000, 4100))
+def rle_range(spark, d):
+    df = numbered(table(spark, d, "events").select("event_type", "event_id"), "event_type", "event_id").select("pos", F.col("event_type").alias("value"))
+    return rle.decode(rle.encode(df, df.count(), 1000, U16), 3000, 4100)
+
+
+@query(_range(RUNS, 700, 1500))
+def rle_range_inside_runs(spark, d):
+    return rle.decode(_anchored(spark, d), 700, 1500)
+
+
+for _name, _relative, _with in (("rpe_range", True, True), ("rpe_range_absolute", False, True), ("rpe_range_without_anchors", False, False)):
+    def _rpe_range(spark, d, relative=_relative, anchored=_with):
+        runs, n = _starts(spark, d)
+        hit = runs.withColumn("seg", F.explode(F.sequence(F.expr("start div 256"), F.expr("(start + length - 1) div 256"))))
+        parts = {"runs": runs.select("run", "value", (F.expr("start % 256") if relative else F.col("start")).alias("start"))}
+        parts |= {"anchors": hit.groupBy("seg").agg(F.min("run").alias("run"))} if anchored else {}
+        return rpe.decode(EncodedColumn("rpe", n, {"segment_length": 256, "relative": relative}, parts), 700, 1500)
+
+    QUERIES[_name], SQL[_name] = _rpe_range, _range(RUNS, 700, 1500)
+
+
+def _streamed(lo=None, hi=None):
+    def run(spark, d):
+        df, n = col(spark, d, "orders", "o_orderkey", cents())
+        return dzb_variable.decode(dzb_variable.encode(df, n, 512, U32, stream_bytes=1000), lo, hi)
+
+    return run
+
+
+QUERIES["dzb_variable_stream"], SQL["dzb_variable_stream"] = _streamed(), ORDER_CENTS
+QUERIES["dzb_variable_stream_range"], SQL["dzb_variable_stream_range"] = _streamed(1000, 2100), _range(ORDER_CENTS, 1000, 2100)
 
 
 @query("""select p_partkey as pos, cast(sum(p_size) over (partition by p_partkey // 64 order by p_partkey) as bigint) as value,
@@ -370,6 +457,19 @@ for _name, _pairs in {
         ("f_first", lambda x, y: B.find_first_set(x), "case when x = 0 then 0 else bit_count(xor(x, x - 1)) end"), ("f_last", lambda x, y: B.find_last_set(x), "case when x = 0 then 0 else length(bin(x)) end"), ("f_ctz", lambda x, y: B.count_trailing_zeros(x), "case when x = 0 then -1 else bit_count(xor(x, x - 1)) - 1 end"), ("f_clz", lambda x, y: B.count_leading_zeros(x, 32), "32 - case when x = 0 then 0 else length(bin(x)) end"),
         ("f_rev", lambda x, y: B.reverse_bits(x, 16), "list_sum(list_transform(range(16), lambda k: ((x >> k) & 1) << (15 - k)))"), ("f_from", lambda x, y: B.find_first_set_starting_from(x, 3, 32), "case when (x >> 3) = 0 then 0 else 3 + bit_count(xor(x >> 3, (x >> 3) - 1)) end"), ("f_swap", lambda x, y: B.byte_swap(x, 16), "((x & 255) << 8) | (x >> 8 & 255)"),
     ],
+    "functor_more": [
+        ("m_cast", lambda x, y: S.cast("smallint")(y), "y"), ("m_const", lambda x, y: S.constant(7)(x, y), "7"), ("m_zero", lambda x, y: S.zero(x), "0"), ("m_first", lambda x, y: S.constant_pair(3, 5)(x)["first"], "3"), ("m_second", lambda x, y: S.constant_pair(3, 5)(x)["second"], "5"),
+        ("m_ratio", lambda x, y: S.constant_by_ratio(9, 4)(x) * 100, "225"), ("m_same", lambda x, y: S.identity(x), "x"), ("m_inc", lambda x, y: S.increment(x) + S.pre_increment(x) + S.post_increment(x), "3 * (x + 1)"), ("m_dec", lambda x, y: S.decrement(x) + S.pre_decrement(x) + S.post_decrement(x), "3 * (x - 1)"), ("m_real", lambda x, y: F.floor(S.inverse_real(y) * 1000 + 1e-9), "floor(1000.0 / y + 1e-9)"),
+        ("m_linear", lambda x, y: S.linear_transform(5)(x) + S.scale(2)(y), "5 * x + 2 * y"), ("m_onbin", lambda x, y: S.compose_on_binary(S.negate, S.plus)(x, y), "-(x + y)"), ("m_pair", lambda x, y: S.in_pair(x, S.constant_pair(10, 90)(x)), "x between 10 and 90"), ("m_strict", lambda x, y: S.strictly_in_pair(x, S.constant_pair(10, 90)(x)), "x > 10 and x < 90"),
+        ("m_between", lambda x, y: S.between_or_equal(x, y, 200), "x between y and 200"), ("m_binom", lambda x, y: S.binomial(y % 20, y % 7), "case when y % 7 > y % 20 then 0 else factorial((y % 20)::int) // (factorial((y % 7)::int) * factorial((y % 20 - y % 7)::int)) end"),
+        ("m_sum", lambda x, y: S.exact_sum(F.array(F.lit(1e16), F.lit(1.0), F.lit(1.0), F.lit(-1e16))) + x, "x + 2"), ("m_near", lambda x, y: nearly_equal(x, x + 1, 1e-2), "1 <= 0.01 * (x + 1)"), ("m_under", lambda x, y: S.subtraction_overflows(F.lit(-(1 << 63) + 500), x), "x > 500"), ("m_over", lambda x, y: S.multiplication_overflows(x * 0 + (1 << 60), y), "y > 7"), ("m_log", lambda x, y: S.ilog2(y), "length(bin(y)) - 1"),
+    ],
+    "bits_more": [
+        ("k_before", lambda x, y: B.keep_bits_before(x, 5, 32), "x & 31"), ("k_upto", lambda x, y: B.keep_bits_up_to(x, 5, 32), "x & 63"), ("k_after", lambda x, y: B.keep_bits_after(x, 5, 32), "(x >> 6) << 6"), ("f_after", lambda x, y: B.find_first_set_after(x, 3, 32), "case when (x >> 4) = 0 then 0 else 4 + bit_count(xor(x >> 4, (x >> 4) - 1)) end"),
+        ("f_upto", lambda x, y: B.find_last_set_up_to(x, 6, 32), "case when x & 127 = 0 then 0 else length(bin(x & 127)) end"), ("f_before", lambda x, y: B.find_last_set_before(x, 6, 32), "case when x & 63 = 0 then 0 else length(bin(x & 63)) end"), ("p_down", lambda x, y: B.round_down_to_power(x, 3), "(x >> 3) << 3"), ("p_mod", lambda x, y: B.modulo_power(x, 3), "x & 7"),
+        ("p_next", lambda x, y: B.next_power_of_2(y), "case when y <= 1 then 1 else 1 << length(bin(y - 1)) end"), ("c_high", lambda x, y: B.clear_higher_bits(x, 4), "x & 15"), ("c_low", lambda x, y: B.clear_lower_bits(x, 4), "(x >> 4) << 4"), ("c_lowest", lambda x, y: B.clear_lowest(x), "x & (x - 1)"), ("i_log", lambda x, y: B.ilog2(y), "length(bin(y)) - 1"),
+        ("a_three", lambda x, y: B.add3(x, y, F.lit(4294967290), 32), "(x + y + 4294967290) & 4294967295"), ("a_shift", lambda x, y: B.shift_and_add(x, 20, y, 32), "((x << 20) + y) & 4294967295"), ("a_high", lambda x, y: B.multiply_high(x * 1000000007, y * 100000000007, 64), "cast((cast(x as hugeint) * 1000000007 * y * 100000000007) // 18446744073709551616 as bigint)"),
+    ],
     "bit_subsequence": [("s_mid", lambda x, y: B.bit_subsequence(x, 3, 5), "(x >> 3) & 31"), ("s_low", lambda x, y: B.lowest_k_bits(x, 6), "x & 63"), ("s_high", lambda x, y: B.highest_k_bits(x, 4, 16), "(x >> 12) & 15"), ("s_from", lambda x, y: B.keep_bits_starting_from(x, 4, 32), "(x >> 4) << 4"), ("s_one", lambda x, y: B.keep_single_bit(x, 3), "x & 8"), ("s_clear", lambda x, y: B.clear_bit(x, 2), "x & ~4")],
 }.items():
     QUERIES[_name], SQL[_name] = _functors(_pairs)
@@ -397,6 +497,61 @@ def bitvector_rank(spark, d):
     return BV.rank(_vector(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("pos")))
 
 
+@query("select k as pos, cast(coalesce((select count(*) from part where p_size > 25 and p_partkey < k), 0) as bigint) as rank from (select p_partkey * 3 as k from part where p_partkey % 11 = 0)")
+def bitvector_rank_beyond(spark, d):
+    return BV.rank(_vector(spark, d), table(spark, d, "part").where("p_partkey % 11 = 0").select((F.col("p_partkey") * 3).cast("bigint").alias("pos")))
+
+
+for _name, _change, _bit in (("set", BV.set_bits, "p_size > 25 or p_partkey % 5 = 0"), ("unset", BV.unset_bits, "p_size > 25 and p_partkey % 5 <> 0"), ("flip", BV.flip_bits, "(p_size > 25) <> (p_partkey % 5 = 0)"), ("set_to", lambda v, p: BV.set_to(BV.set_to(v, p, True), p.where("pos % 2 = 0"), False), "(p_size > 25 or p_partkey % 5 = 0) and p_partkey % 10 <> 0")):
+    def _changed(spark, d, change=_change):
+        at = table(spark, d, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").cast("bigint").alias("pos"))
+        return change(_vector(spark, d), at.unionByName(at))
+
+    QUERIES[f"bitvector_{_name}"] = _changed
+    SQL[f"bitvector_{_name}"] = f"select p_partkey // 32 as word, cast(sum(case when {_bit} then 1 << (p_partkey % 32) else 0 end) as bigint) as bits from part group by 1"
+
+
+@query("select cast(w as bigint) as word, cast(case w when 0 then 4294967295 when 2 then 15 when 3 then 4294967295 when 4 then 4294967295 when 5 then 255 else 0 end as bigint) as bits from range(8) t(w)")
+def bitvector_whole(spark, d):
+    """70 set positions with the middle word unset; words 3 to 5 are 72 set ones, 6 and 7 unset ones."""
+    one = BV.unset_bits(BV.set_all(spark, 68), spark.range(32, 64).withColumnRenamed("id", "pos"))
+    return one.unionByName(BV.set_all(spark, 72).withColumn("word", F.col("word") + 3)).unionByName(BV.unset_all(spark, 33).withColumn("word", F.col("word") + 6))
+
+
+@query("select p_partkey // 32 - 3 as word, cast(sum(case when p_size > 25 and p_partkey < 200 then 1 << (p_partkey % 32) else 0 end) as bigint) as bits from part where p_partkey // 32 between 3 and 7 group by 1")
+def bitvector_slice(spark, d):
+    return BV.take(BV.clear_slack(_vector(spark, d), 200), 3, 5)
+
+
+@query("select cast(p_partkey as bigint) as pos, coalesce((select q.p_size > 25 from part q where q.p_partkey = p.p_partkey), false) as value from part p where p_partkey % 7 = 0 union all select 1000000000, false")
+def bitvector_get(spark, d):
+    at = table(spark, d, "part").where("p_partkey % 7 = 0").select(F.col("p_partkey").cast("bigint").alias("pos"))
+    return BV.get(_vector(spark, d), at.unionByName(spark.range(1000000000, 1000000001).withColumnRenamed("id", "pos")))
+
+
+def _sizes(spark, d):
+    return col(spark, d, "part", "p_partkey", F.col("p_size").cast("bigint"))[0]
+
+
+@query("""select p_partkey // 8 as seg, count_if(p_size > 30) as tally, coalesce(min(case when p_size > 30 then p_partkey % 8 end), 8) as first, count_if(p_size > 30) = count(*) as "all",
+  count_if(p_size > 30) = 0 as none, count_if(p_size > 30) > 0 as some, count_if(p_size > 30) in (0, count(*)) as agree from part group by 1""")
+def group_votes(spark, d):
+    return groups.votes(_sizes(spark, d), 8, lambda v: v > 30)
+
+
+for _place, _sql in (("first", "arg_min(p_size, p_partkey)"), ("last", "arg_max(p_size, p_partkey)"), (3, "max(case when p_partkey % 32 = 3 then p_size end)")):
+    def _from(spark, d, place=_place):
+        return groups.from_place(_sizes(spark, d), 32, place)
+
+    QUERIES[f"group_from_{_place}"] = _from
+    SQL[f"group_from_{_place}"] = f"select p_partkey as pos, cast(v as bigint) as value from part join (select p_partkey // 32 as g, {_sql} as v from part group by 1) on g = p_partkey // 32"
+
+
+@query("select i as pos, 'x' as value from range(1000) t(i)")
+def group_fill(spark, d):
+    return groups.fill(spark, 1000, "x")
+
+
 @query("select 1 + min(p_partkey) as first_set, 1 + max(p_partkey) as last_set from part where p_size > 25")
 def first_last_set_bit(spark, d):
     return BV.first_and_last_set(_vector(spark, d))

@@ -35,7 +35,9 @@ def column(df: DataFrame, pos: str, value) -> DataFrame:
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """df with pos: its rows numbered from 0 in the given order, by ranges, never in one task."""
-    ranged = df.repartitionByRange(*order).withColumn("seg", F.spark_partition_id().cast("bigint"))
+    # The number is given, so that no stage merges partitions and both readers of the ranges see the same ones.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).withColumn("seg", F.spark_partition_id().cast("bigint"))
     before = exclusive_prefix(ranged.groupBy("seg").agg(F.count(F.lit(1)).alias("total")))
     row = F.row_number().over(Window.partitionBy("seg").orderBy(*order)) - 1
     return ranged.withColumn("_row", row).join(before, "seg").withColumn("pos", (F.col("_row") + F.coalesce("before", F.lit(0))).cast("bigint")).drop("seg", "_row", "before")
