@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts, slices, typed
+from .common import Scratch, join_counted, map_texts, slices, typed
 
 SMALL = 160  # sets up to this size bring all shingles to step 2
 BUCKET_TOKENS = 1 << 17
@@ -215,8 +215,8 @@ def prefixes(work: Scratch, held: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(b.column("sid").to_pylist(), np.int64), sizes)), pa.array(tok.astype(np.int64)), pa.array(((tok & np.uint64(3)) != 0).astype(np.int32))], ["sid", "h", "rest"])
 
     posts = work.table("posts", held.select("sid", "toks").mapInArrow(typed(run, schema), schema))
-    df = posts.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = posts.join(df, "h").join(held.select("sid", "n", "n0", "brought"), "sid")
+    df = work.table("df", posts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("df", F.col("n")))
+    shared = join_counted(posts, df, ["h"]).join(held.select("sid", "n", "n0", "brought"), "sid")
     per = Window.partitionBy("sid", "rest")
     alone = F.when(F.col("rest") == 0, F.col("n0")).otherwise(F.col("brought") - F.col("n0")) - F.count(F.lit(1)).over(per)
     rank = F.row_number().over(per.orderBy("df", "h")) - 1 + alone + F.when(F.col("rest") == 1, F.col("n0")).otherwise(0)
@@ -269,12 +269,13 @@ def links_between(work: Scratch, docs: DataFrame, sets: DataFrame, held: DataFra
     groups = work.table("groups", groups)
     member = member.drop("hs").join(groups.select("grp", "gid"), "grp")
     member = work.table("members", member.drop("grp"))
-    work.drop("posts", "member")
+    work.drop("posts", "df", "member")
     posts = work.table("keys", groups.select("gid", "n", "members", "b0", "b1", "b2", "b3", "rank", F.posexplode("hs").alias("i", "h")).withColumn("rank", F.col("rank") + F.col("i")).drop("i"))
-    hub = posts.groupBy("h").agg(F.min(F.struct("rank", "gid")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", F.col("hub.gid").alias("hub"))
+    hub = posts.groupBy("h").agg(F.min(F.struct("rank", "gid")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", F.col("hub.gid").alias("hub"), "c")
+    hub = work.table("hubs", hub)
     # Stars: members with their group's hub, groups with their shingles' hubs.
     inner = member.where("sid <> gid").alias("x").join(groups.select("gid", "b0", "b1", "b2", "b3", "n").alias("y"), F.col("x.gid") == F.col("y.gid")).where(F.expr(rule.parity_fits("x", "y"))).select(F.col("x.sid").alias("a"), F.col("y.gid").alias("b"))
-    hubs = posts.join(hub, "h").where("gid <> hub").select("gid", "hub").distinct()
+    hubs = join_counted(posts, hub, ["h"], "c").where("gid <> hub").select("gid", "hub").distinct()
     outer = hubs.join(groups.alias("x"), F.col("x.gid") == hubs["gid"]).join(groups.alias("y"), F.col("y.gid") == hubs["hub"]).where(F.expr(f"{rule.fits('x', 'y')} and {rule.parity_fits('x', 'y')}")).select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b"))
     stars = work.table("stars", inner.unionByName(outer).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     full = whole_sets(work, "star-sets", docs, sets, stars, rule)
@@ -297,7 +298,7 @@ def links_between(work: Scratch, docs: DataFrame, sets: DataFrame, held: DataFra
     met = rest.alias("x").join(listed.alias("y"), F.expr(f"x.h = y.h and x.sid <> y.sid and x.label <> y.label and {lead} and {rule.fits('x', 'y')} and {rule.parity_fits('x', 'y')} and {first}"))
     more = work.table("more", met.select(F.greatest("x.sid", "y.sid").alias("a"), F.least("x.sid", "y.sid").alias("b")).distinct())
     more_links = verify(work, "more-links", more, whole_sets(work, "more-sets", docs, sets, more, rule), rule)
-    work.drop("keys", "listed", "more", "more-sets", "more-sets-once", "groups", "members")
+    work.drop("keys", "hubs", "listed", "more", "more-sets", "more-sets-once", "groups", "members")
     return components(work, "all", links.unionByName(more_links))
 
 
