@@ -285,11 +285,14 @@ def links_between(work: Scratch, docs: DataFrame, sets: DataFrame, held: DataFra
     # Rest: on each shingle, members of another class than the hub's meet all others of another class than their own.
     member = member.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     parity = ["b0", "b1", "b2", "b3"]
-    lists = member.join(groups.select("gid", "hs"), "gid").select("sid", "label", "n", *parity, F.col("rank").alias("_first"), "hs")
+    lists = work.table("lists", member.join(groups.select("gid", "hs"), "gid").select("sid", "label", "n", *parity, F.col("rank").alias("_first"), "hs"))
     posts = lists.select("*", F.posexplode("hs").alias("i", "h")).withColumn("rank", F.col("_first") + F.col("i")).drop("i", "_first")
     posts = posts.withColumn("hs", F.when(F.size("hs") <= rule.missing(CARRIED), F.col("hs")))
     hub = hub.join(member.select(F.col("sid").alias("hub"), F.col("label").alias("hub_label")), "hub").select("h", "hub_label")
-    listed = work.table("listed", posts.join(hub, "h").unionByName(alone(posts, hub)))
+    # A shingle that one group alone holds, with several members, has the smallest sid's class for its hub's.
+    own = posts.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min_by("label", "sid").alias("own"))
+    named = own.join(hub, "h", "left").where("c > 1").select("h", F.coalesce("hub_label", "own").alias("hub_label"), "c")
+    listed = work.table("listed", join_counted(posts, work.table("named-hubs", named), ["h"], "c"))
     # Of short prefixes a pair counts on its first common shingle only (long ones would be a burden to carry, and large
     # sets share few); among the rest, that with the smaller sid leads.
     rest = listed.where("label <> hub_label")
@@ -298,17 +301,10 @@ def links_between(work: Scratch, docs: DataFrame, sets: DataFrame, held: DataFra
     met = rest.alias("x").join(listed.alias("y"), F.expr(f"x.h = y.h and x.sid <> y.sid and x.label <> y.label and {lead} and {rule.fits('x', 'y')} and {rule.parity_fits('x', 'y')} and {first}"))
     more = work.table("more", met.select(F.greatest("x.sid", "y.sid").alias("a"), F.least("x.sid", "y.sid").alias("b")).distinct())
     more_links = verify(work, "more-links", more, whole_sets(work, "more-sets", docs, sets, more, rule), rule)
-    work.drop("keys", "hubs", "listed", "more", "more-sets", "more-sets-once", "groups", "members")
+    work.drop("keys", "hubs", "named-hubs", "lists", "listed", "more", "more-sets", "more-sets-once", "groups", "members")
     return components(work, "all", links.unionByName(more_links))
 
 
-def alone(posts: DataFrame, hub: DataFrame) -> DataFrame:
-    """Postings of shingles that one group alone holds, with several members: their hub is the smallest sid's class."""
-    own = posts.join(hub.select("h"), "h", "left_anti")
-    first = own.groupBy("h").agg(F.min_by("label", "sid").alias("hub_label"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    return own.join(first, "h")
-
-
 def whole_sets(work: Scratch, name: str, docs: DataFrame, sets: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """(sid, toks) with all shingles (48 bits of each) of the sets in pairs, made again from one text each."""
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
