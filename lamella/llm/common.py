@@ -52,8 +52,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 FEW, HOT_KEYS = 4096, 1 << 16
 
 
-def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
-    """left joined with right, a written table of unique keys, each with n, its number of rows in left.
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """left joined (inner or left) with right, a written table of unique keys, each with n, its number of rows in left.
 
     Keys of more than FEW rows and more than one HOT_KEYS-th of all are at most HOT_KEYS, so these entries are broadcast
     and such keys' rows stay where they lie; all others meet in a shuffle. n is dropped.
@@ -62,7 +62,7 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n
     hot = F.col(n) > max(FEW, rows // HOT_KEYS)
     some, rest = right.where(hot).drop(n), right.where(~hot).drop(n)
     others = left.join(F.broadcast(some.select(*keys)), keys, "left_anti")
-    return left.join(F.broadcast(some), keys).unionByName(others.join(rest, keys))
+    return left.join(F.broadcast(some), keys).unionByName(others.join(rest, keys, how))
 
 
 def row_hash(df: DataFrame) -> Column:

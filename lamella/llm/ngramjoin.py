@@ -193,14 +193,17 @@ def credits(table: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sid": sids.astype(np.int64), "got": got.astype(np.int64)})
 
 
-def survivors(work: Scratch, unique: DataFrame, real: DataFrame, tokens: int, rule: Rule) -> DataFrame:
-    """Sets of which a partner can exist, judged by the shingles that stand in no other set."""
+def survivors(work: Scratch, real: DataFrame, tokens: int, rule: Rule) -> DataFrame:
+    """(sid, doc_id, th, copies): sets of which a partner can exist, judged by the shingles that stand in no other set,
+    with their first row by (doc_id, th) and the number of rows that have them."""
     buckets = 1 << max(0, (tokens // BUCKET_TOKENS).bit_length())
     fn, schema = token_rows(buckets, rule)
-    rows = unique.select("sid", "n", "toks").mapInArrow(fn, schema)
+    unique = real.groupBy("sid").agg(F.min_by(F.struct("n", "toks"), "doc_id").alias("x")).select("sid", "x.*")
+    rows = unique.mapInArrow(fn, schema)
     got = rows.groupBy("bucket").applyInPandas(credits, "sid long,got long").groupBy("sid").agg(F.sum("got").alias("got"))
-    kept = real.groupBy("sid").agg(F.min("n").alias("n"), F.min("tested").alias("tested")).join(got, "sid").where(F.col("tested") - F.col("got") <= rule.missing_col("n"))
-    return work.table("survivors", kept.select("sid"))
+    one = real.groupBy("sid").agg(F.min("n").alias("n"), F.min("tested").alias("tested"), F.min(F.struct("doc_id", "th")).alias("d"), F.count(F.lit(1)).alias("copies"))
+    kept = one.join(got, "sid").where(F.col("tested") - F.col("got") <= rule.missing_col("n"))
+    return work.table("survivors", kept.select("sid", "d.*", "copies"))
 
 
 def prefixes(work: Scratch, held: DataFrame, rule: Rule) -> DataFrame:
@@ -256,8 +259,8 @@ def components(work: Scratch, name: str, links: DataFrame) -> DataFrame:
     return work.table(f"{name}-labels", edges.select(F.col("u").alias("sid"), F.col("v").alias("label")).unionByName(roots))
 
 
-def links_between(work: Scratch, docs: DataFrame, sets: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
-    """(sid, label) of all linked sets."""
+def links_between(work: Scratch, docs: DataFrame, alive: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
+    """(sid, label) of all linked sets; alive has the row whose text a set is made from again."""
     pre = prefixes(work, held, rule)
     # Groups: equal size and prefix. gid is the smallest sid; the place of its first shingle is the least of its members'.
     lists = pre.groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("rest", "df", "h"))).alias("p"), F.min("rank").alias("rank"))
@@ -274,11 +277,14 @@ def links_between(work: Scratch, docs: DataFrame, sets: DataFrame, held: DataFra
     hub = posts.groupBy("h").agg(F.min(F.struct("rank", "gid")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", F.col("hub.gid").alias("hub"), "c")
     hub = work.table("hubs", hub)
     # Stars: members with their group's hub, groups with their shingles' hubs.
-    inner = member.where("sid <> gid").alias("x").join(groups.select("gid", "b0", "b1", "b2", "b3", "n").alias("y"), F.col("x.gid") == F.col("y.gid")).where(F.expr(rule.parity_fits("x", "y"))).select(F.col("x.sid").alias("a"), F.col("y.gid").alias("b"))
+    cells = ["n", "b0", "b1", "b2", "b3"]
+    others = member.where("sid <> gid").select("gid", "sid", F.struct(*cells).alias("x"))
+    inner = join_counted(others, groups.where("members > 1").select("gid", F.struct(*cells).alias("y"), "members"), ["gid"], "members")
+    inner = inner.where(F.expr(rule.parity_fits("x", "y"))).select(F.col("sid").alias("a"), F.col("gid").alias("b"))
     hubs = join_counted(posts, hub, ["h"], "c").where("gid <> hub").select("gid", "hub").distinct()
     outer = hubs.join(groups.alias("x"), F.col("x.gid") == hubs["gid"]).join(groups.alias("y"), F.col("y.gid") == hubs["hub"]).where(F.expr(f"{rule.fits('x', 'y')} and {rule.parity_fits('x', 'y')}")).select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b"))
     stars = work.table("stars", inner.unionByName(outer).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    full = whole_sets(work, "star-sets", docs, sets, stars, rule)
+    full = whole_sets(work, "star-sets", docs, alive, stars, rule)
     links = verify(work, "star-links", stars, full, rule)
     work.drop("star-sets", "star-sets-once", "stars")
     labels = components(work, "star", links)
@@ -300,15 +306,15 @@ def links_between(work: Scratch, docs: DataFrame, sets: DataFrame, held: DataFra
     first = "(x.hs is null or y.hs is null or get(filter(x.hs, s -> array_contains(y.hs, s)), 0) = x.h)"
     met = rest.alias("x").join(listed.alias("y"), F.expr(f"x.h = y.h and x.sid <> y.sid and x.label <> y.label and {lead} and {rule.fits('x', 'y')} and {rule.parity_fits('x', 'y')} and {first}"))
     more = work.table("more", met.select(F.greatest("x.sid", "y.sid").alias("a"), F.least("x.sid", "y.sid").alias("b")).distinct())
-    more_links = verify(work, "more-links", more, whole_sets(work, "more-sets", docs, sets, more, rule), rule)
+    more_links = verify(work, "more-links", more, whole_sets(work, "more-sets", docs, alive, more, rule), rule)
     work.drop("keys", "hubs", "named-hubs", "lists", "listed", "more", "more-sets", "more-sets-once", "groups", "members")
     return components(work, "all", links.unionByName(more_links))
 
 
-def whole_sets(work: Scratch, name: str, docs: DataFrame, sets: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+def whole_sets(work: Scratch, name: str, docs: DataFrame, alive: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """(sid, toks) with all shingles (48 bits of each) of the sets in pairs, made again from one text each."""
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    ids = work.table(f"{name}-ids", sets.join(wanted, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("d")).select("sid", "d.*"))
+    ids = work.table(f"{name}-ids", alive.join(wanted, "sid").select("sid", "doc_id", "th"))
     small = ids.count() <= BROADCAST_IDS
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(F.broadcast(ids) if small else ids, ["doc_id", "th"]).select("sid", "text")
 
@@ -336,20 +342,20 @@ def jaccard_rows(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     real = sets.where("n > 0 and doc_id is not null")
     tokens = real.agg(F.sum("brought")).first()[0] or 0
     columns = ["n", "n0", "brought", "tested", "toks", "b0", "b1", "b2", "b3"]
-    unique = real.groupBy("sid").agg(F.min_by(F.struct(*columns), "doc_id").alias("x")).select("sid", "x.*")
-    alive = survivors(work, unique, real, tokens, rule)
-    held = real.join(alive, "sid").groupBy("sid").agg(F.min_by(F.struct(*columns), "doc_id").alias("x")).select("sid", "x.*")
-    labels = links_between(work, docs, real.select("sid", "doc_id", "th"), work.table("held", held, "snappy"), rule)
-    named = sets.select("doc_id", "th", "sid", F.col("n").alias("n_shingles")).join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    named = work.table("named", named)
-    work.drop("sets", "held", "all-labels", "star-labels")
-    first = named.where("n_shingles > 0 and doc_id is not null").groupBy("label").agg(F.min(F.struct("doc_id", F.col("th").alias("text_hash"))).alias("keeper"))
-    out = named.join(first, "label", "left")
-    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    return out.select(
-        "doc_id", F.col("th").alias("text_hash"), F.col("n_shingles").cast("long").alias("n_shingles"),
-        F.when(linked, F.col("keeper.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(linked, F.col("keeper")).alias("keeper"),
-    )
+    alive = survivors(work, real, tokens, rule)
+    # Only a set's first row meets it, so copies of one set, however many, don't come together; fully repeated rows do.
+    held = real.join(alive.drop("copies"), ["sid", "doc_id", "th"]).groupBy("sid").agg(F.min_by(F.struct(*columns), "doc_id").alias("x")).select("sid", "x.*")
+    labels = links_between(work, docs, alive, work.table("held", held, "snappy"), rule)
+    labels = work.table("counted", labels.join(alive.select("sid", "copies"), "sid"))
+    rows = lambda df: df.select("sid", "doc_id", F.col("th").alias("text_hash"), F.col("n").cast("long").alias("n_shingles"))
+    named = work.table("named", join_counted(rows(real), labels, ["sid"], "copies", "left").withColumn("label", F.coalesce("label", "sid")).drop("sid"))
+    bare = work.table("bare", rows(sets.where("n = 0 or doc_id is null")).drop("sid"))
+    work.drop("sets", "held", "survivors", "counted", "all-labels", "star-labels")
+    mine = F.struct("doc_id", "text_hash")
+    first = work.table("first", named.groupBy("label").agg(F.min(mine).alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    out = join_counted(named, first, ["label"], how="left").withColumn("keeper", F.coalesce("keeper", mine))
+    out = out.select("doc_id", "text_hash", "n_shingles", F.col("keeper.doc_id").alias("component_id"), "keeper")
+    return out.unionByName(bare.select("*", F.col("doc_id").alias("component_id"), F.lit(None).cast(out.schema["keeper"].dataType).alias("keeper")))
 
 
 def jaccard_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:

@@ -429,8 +429,9 @@ def test_jaccard(docs):
     assert got == {(0, 0, 0), (1, 0, 1), (2, 1, 2), (3, 10, 3), (4, 10, 3), (5, 10, 5), (6, 1, 6), (7, 2, 7), (8, 1, 8), (None, 1, None)}
 
 
-@pytest.mark.parametrize("rule", [ngramjoin.Rule(), ngramjoin.Rule(words=3, num=90)])
-def test_jaccard_brute_force(spark, rule):
+@pytest.mark.parametrize("rule, few", [(ngramjoin.Rule(), 1), (ngramjoin.Rule(words=3, num=90), 4096)])
+def test_jaccard_brute_force(spark, monkeypatch, rule, few):
+    monkeypatch.setattr(common, "FEW", few)  # 1: whatever has copies takes the broadcast path
     r = np.random.default_rng(4)
     texts = []
     for n in (4, 12, 40, 150, 180, 260, 900):  # on both sides of the size from which shingles are sampled
