@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -94,7 +95,6 @@ def map_texts(df: DataFrame, fn: Callable, schema: str, columns: list[str], text
             out = fn(part)
             arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)]
             yield pa.RecordBatch.from_arrays(arrays, names)
-        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.select(*columns).mapInArrow(typed(run, schema), schema)
 
@@ -102,6 +102,14 @@ def map_texts(df: DataFrame, fn: Callable, schema: str, columns: list[str], text
 ARROW = {"array<bigint>": pa.list_(pa.int64()), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system: a Python worker lives on after its task, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries than glibc have none
+    if trim:
+        trim(0)
+
+
 def typed(fn: Callable, schema: str) -> Callable:
     """Casts what fn yields to the Arrow types of the DDL schema (empty and all-null columns come out untyped)."""
     want = [ARROW[x.split()[1]] for x in schema.split(",")]
@@ -109,6 +117,7 @@ def typed(fn: Callable, schema: str) -> Callable:
     def run(batches):
         for b in fn(batches):
             yield pa.RecordBatch.from_arrays([c if c.type == t else c.cast(t) for c, t in zip(b.columns, want)], b.schema.names)
+        give_back()
 
     return run
 
