@@ -66,6 +66,21 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n
     return left.join(F.broadcast(some), keys).unionByName(others.join(rest, keys, how))
 
 
+WORDS = 1 << 20
+
+
+def likely_in(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of left whose key is in right, a written table, and a small share of the others; nothing is shuffled for it.
+
+    Keys of right mark 16 to 32 bits each of a bitmap, which is broadcast as words of 64 bits, WORDS of them at most; with
+    more keys than that holds, more of the others stay.
+    """
+    words = min(WORDS, max(64, 1 << (right.count() * 16 // 64).bit_length()))
+    word, bit = F.expr(f"shiftright(xxhash64(`{key}`), 6) & {words - 1}"), F.expr(f"shiftleft(1L, cast(xxhash64(`{key}`) & 63 as int))")
+    marks = right.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return left.withColumn("_word", word).join(F.broadcast(marks), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+
+
 def row_hash(df: DataFrame) -> Column:
     """64-bit hash of all columns of a row; maps count by their JSON."""
     return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`") for c, t in df.dtypes])

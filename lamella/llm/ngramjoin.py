@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_counted, map_texts, slices, typed
+from .common import Scratch, join_counted, likely_in, map_texts, slices, typed
 
 SMALL = 160  # sets up to this size bring all shingles to step 2
 BUCKET_TOKENS = 1 << 17
@@ -33,6 +33,7 @@ SLICE = 2 << 20  # bytes of packed shingles that a Python worker handles at a ti
 CARRIED = 240  # sets up to this size carry their prefix
 STIR1, STIR2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 LOW48 = np.uint64((1 << 48) - 1)
+OWNER = "greatest(sid & 4294967295, 1)"  # SQL of owners()
 
 
 class Rule(NamedTuple):
@@ -148,8 +149,17 @@ def set_rows(batch: pa.RecordBatch, rule: Rule) -> dict:
     return cols
 
 
+def owners(sid: np.ndarray) -> np.ndarray:
+    """32 bits of each sid, never 0."""
+    return np.maximum(sid & 0xFFFFFFFF, 1).astype("<u4")
+
+
 def token_rows(buckets: int, rule: Rule):
-    """Slices of sets to rows by bucket of the hash. A shingle that several sets of a slice hold goes out once."""
+    """Slices of sets to rows by bucket of the hash. A shingle that several sets of a slice hold goes out once.
+
+    Shingles and their sets go out as 32 bits each: equal bits of different ones only make shingles count as shared, so
+    that more sets survive, never fewer.
+    """
     names = ["bucket", "once", "owner", "more", "known"]
 
     def run(batches):
@@ -166,6 +176,7 @@ def token_rows(buckets: int, rule: Rule):
             new = np.concatenate([[True], tok[1:] != tok[:-1]])
             alone = new & np.concatenate([new[1:], [True]])
             part = (tok >> np.uint64(8) & np.uint64(buckets - 1)).astype(np.int64)
+            sid, tok = owners(sid), stir(tok).astype("<u4")
             by = np.argsort(part, kind="stable")
             present, begin = np.unique(part[by], return_index=True)
             rows = []
@@ -173,8 +184,8 @@ def token_rows(buckets: int, rule: Rule):
                 one, first = i[alone[i]], i[new[i] & ~alone[i]]
                 credit = np.bincount(own[i[~alone[i] & counts[i]]], minlength=len(sid))
                 has = np.flatnonzero(credit)
-                known = np.stack([sid[has], credit[has]], 1).astype(np.int64)
-                rows.append((k, narrow(tok[one]), np.where(counts[one], sid[own[one]], 0).astype(np.int64).tobytes(), narrow(tok[first]), known.tobytes()))
+                known = np.stack([sid[has], credit[has]], 1).astype("<u4")
+                rows.append((k, tok[one].tobytes(), np.where(counts[one], sid[own[one]], 0).astype("<u4").tobytes(), tok[first].tobytes(), known.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
 
     schema = "bucket long,once binary,owner binary,more binary,known binary"
@@ -183,14 +194,14 @@ def token_rows(buckets: int, rule: Rule):
 
 def credits(table: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: how many shingles of each set stand in another set too."""
-    once, owner = widen(b"".join(table["once"])), np.frombuffer(b"".join(table["owner"]), np.int64)
-    more, known = widen(b"".join(table["more"])), np.frombuffer(b"".join(table["known"]), np.int64).reshape(-1, 2)
+    once, owner, more, known = (np.frombuffer(b"".join(table[c]), "<u4") for c in ("once", "owner", "more", "known"))
+    known = known.reshape(-1, 2)
     seen, at, count = np.unique(once, return_inverse=True, return_counts=True)
     shared = (count[at] > 1) | np.isin(seen, more)[at] if len(once) else np.zeros(0, bool)
     own = owner[shared & (owner != 0)]
-    sids, at = np.unique(np.concatenate([own, known[:, 0]]), return_inverse=True)
-    got = np.bincount(at, weights=np.concatenate([np.ones(len(own)), known[:, 1]]), minlength=len(sids))
-    return pd.DataFrame({"sid": sids.astype(np.int64), "got": got.astype(np.int64)})
+    sets, at = np.unique(np.concatenate([own, known[:, 0]]), return_inverse=True)
+    got = np.bincount(at, weights=np.concatenate([np.ones(len(own)), known[:, 1]]), minlength=len(sets))
+    return pd.DataFrame({"owner": sets.astype(np.int64), "got": got.astype(np.int64)})
 
 
 def survivors(work: Scratch, real: DataFrame, tokens: int, rule: Rule) -> DataFrame:
@@ -200,9 +211,9 @@ def survivors(work: Scratch, real: DataFrame, tokens: int, rule: Rule) -> DataFr
     fn, schema = token_rows(buckets, rule)
     unique = real.groupBy("sid").agg(F.min_by(F.struct("n", "toks"), "doc_id").alias("x")).select("sid", "x.*")
     rows = unique.mapInArrow(fn, schema)
-    got = rows.groupBy("bucket").applyInPandas(credits, "sid long,got long").groupBy("sid").agg(F.sum("got").alias("got"))
+    got = rows.groupBy("bucket").applyInPandas(credits, "owner long,got long").groupBy("owner").agg(F.sum("got").alias("got"))
     one = real.groupBy("sid").agg(F.min("n").alias("n"), F.min("tested").alias("tested"), F.min(F.struct("doc_id", "th")).alias("d"), F.count(F.lit(1)).alias("copies"))
-    kept = one.join(got, "sid").where(F.col("tested") - F.col("got") <= rule.missing_col("n"))
+    kept = one.withColumn("owner", F.expr(OWNER)).join(got, "owner").where(F.col("tested") - F.col("got") <= rule.missing_col("n"))
     return work.table("survivors", kept.select("sid", "d.*", "copies"))
 
 
@@ -316,7 +327,8 @@ def whole_sets(work: Scratch, name: str, docs: DataFrame, alive: DataFrame, pair
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     ids = work.table(f"{name}-ids", alive.join(wanted, "sid").select("sid", "doc_id", "th"))
     small = ids.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(F.broadcast(ids) if small else ids, ["doc_id", "th"]).select("sid", "text")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    texts = (texts.join(F.broadcast(ids), ["doc_id", "th"]) if small else likely_in(texts, ids, "th").join(ids, ["doc_id", "th"])).select("sid", "text")
 
     def rows(batch: pa.RecordBatch) -> dict:
         found = shingles([t or "" for t in batch.column("text").to_pylist()], rule.words)
@@ -344,7 +356,8 @@ def jaccard_rows(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     columns = ["n", "n0", "brought", "tested", "toks", "b0", "b1", "b2", "b3"]
     alive = survivors(work, real, tokens, rule)
     # Only a set's first row meets it, so copies of one set, however many, don't come together; fully repeated rows do.
-    held = real.join(alive.drop("copies"), ["sid", "doc_id", "th"]).groupBy("sid").agg(F.min_by(F.struct(*columns), "doc_id").alias("x")).select("sid", "x.*")
+    # Most sets don't survive: their shingles stay where they lie.
+    held = likely_in(real, alive, "sid").join(alive.drop("copies"), ["sid", "doc_id", "th"]).groupBy("sid").agg(F.min_by(F.struct(*columns), "doc_id").alias("x")).select("sid", "x.*")
     labels = links_between(work, docs, alive, work.table("held", held, "snappy"), rule)
     labels = work.table("counted", labels.join(alive.select("sid", "copies"), "sid"))
     rows = lambda df: df.select("sid", "doc_id", F.col("th").alias("text_hash"), F.col("n").cast("long").alias("n_shingles"))

@@ -9,6 +9,8 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from lamella.llm import common, linededup, media, mixing, ngramjoin, packing, quality, secret_scan, topk, toxicity, warc
@@ -465,6 +467,71 @@ def test_jaccard_brute_force(spark, monkeypatch, rule, few):
     assert {tuple(x) for x in got} == want
 
 
+def shuffled(spark, run):
+    """Bytes that a run writes to shuffles."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    ids = lambda found: {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = set(ids(stages()))
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for k, n in ids(stages()).items() if k not in before)
+
+
+def test_jaccard_shuffles_shingles_of_possible_partners_only(spark, monkeypatch):
+    """Of sets without partners, shingles go out once whole and once as 32 bits beside 32 bits of their set, also where
+    the survivors are too many for a broadcast (held's join then took all sets, 6 bytes a shingle, and counting 14)."""
+    r = np.random.default_rng(8)
+    texts = [" ".join(r.integers(0, 10**6, 150).astype(str)) for _ in range(1500)]
+    table = spark.createDataFrame(list(enumerate(texts + texts[:40])), "doc_id long, text string").repartition(2).cache()
+    assert table.count() == 1540
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = []
+        moved = shuffled(spark, lambda: got.extend(ngramjoin.jaccard_classes(table, ngramjoin.Rule(words=3, num=90)).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        table.unpersist()
+    assert {tuple(x) for x in got} == {(i, 148, i % 1500) for i in range(1540)}
+    assert moved < 18 * 148 * 1540
+
+
+def test_credits_of_sets_with_equal_bits():
+    """Counted are 32 bits of a set, never 0 (which marks shingles that don't count): those alike share their credit."""
+    toks = [ngramjoin.narrow(np.array(x, np.uint64) * np.uint64(1024)) for x in ([1, 2, 3], [2, 3, 4], [5, 6, 7])]
+    run, _ = ngramjoin.token_rows(1, ngramjoin.Rule())
+    names = ["sid", "n", "toks"]
+    slices = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names) for rows in ([(1 << 32, 3, toks[0]), (9, 3, toks[2])], [(5 << 32, 3, toks[1])])]
+    table = pd.concat([b.to_pandas() for b in run(iter(slices))])
+    assert ngramjoin.credits(table).to_dict("list") == {"owner": [1], "got": [4]}
+    assert ngramjoin.owners(np.array([0, 1 << 32, -1, 7])).tolist() == [1, 1, 2**32 - 1, 7]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 64])
+def test_likely_in(spark, monkeypatch, most):
+    """Every row whose key is wanted stays, also with more keys than the bitmap has room for; of the others few, if it has."""
+    monkeypatch.setattr(common, "WORDS", most)
+    keys = spark.range(0, 60000, 20).toDF("k")
+    got = [x.k for x in common.likely_in(spark.range(60000).selectExpr("id as k", "id as v"), keys, "k").collect()]
+    assert len(got) == len(set(got)) and set(range(0, 60000, 20)) <= set(got)
+    assert most == 64 or len(got) < 3000 + 57000 // 8
+    assert common.likely_in(keys, keys.where("k < 0"), "k").count() == 0
+
+
+def test_whole_sets_of_many(spark, monkeypatch):
+    """Sets too many for a broadcast of their ids are made from the same texts."""
+    docs = spark.createDataFrame([(i, f"a{i} b c d") for i in range(50)], "doc_id long, text string")
+    alive = docs.selectExpr("doc_id + 100 as sid", "doc_id", "xxhash64(text) as th")
+    pairs = spark.createDataFrame([(103, 102), (120, 110)], "a long, b long")
+    got = []
+    for most in (1 << 20, 1):
+        monkeypatch.setattr(ngramjoin, "BROADCAST_IDS", most)
+        got.append({r.sid: r.toks for r in ngramjoin.whole_sets(ngramjoin.Scratch(spark, "test"), "some", docs, alive, pairs, ngramjoin.Rule(words=3)).collect()})
+    assert got[0] == got[1] and set(got[0]) == {102, 103, 110, 120}
+
+
 @pytest.mark.parametrize("few", [4096, 2])
 def test_warc(spark, monkeypatch, few):
     monkeypatch.setattr(warc, "FEW", few)  # 2: the repeated payload takes the broadcast path
