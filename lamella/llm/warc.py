@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FEW, HOT_KEYS, Scratch, typed
+from .common import FEW, HOT_KEYS, Scratch, slices, typed
 
 MIN_REVISIT = 100
 BLOCK_CAPTURES = 256
@@ -133,7 +133,7 @@ def write_archives(work: Scratch, pages: DataFrame, folder: str) -> DataFrame:
         name, out, at = f"part-{uuid.uuid4().hex}", None, 0
         store, path = open_folder(folder)
         try:
-            for b in batches:
+            for b in slices(batches, "html"):
                 rows = []
                 for p in b.to_pylist():
                     if out is None:
@@ -309,10 +309,10 @@ def read_pages(index: CaptureIndex, pages: DataFrame) -> DataFrame:
 
 def archive_pages(spark: SparkSession, pages: DataFrame) -> CaptureIndex:
     """Writes archives and index to the shared folder. Of the index only a name and a key a shard come to the driver,
-    and there are as many shards as tasks that write them."""
+    and there are as many shards as tasks that write them; these rows aren't written as files, which would be one a shard."""
     work = Scratch(spark, "warc")
     folder = f"{work.path}/archives"
     captures = work.table("captures", write_archives(work, pages, folder))
-    shards = work.table("shards", write_index(captures, folder)).collect()
+    shards = write_index(captures, folder).collect()
     work.drop("captures", "same")
     return CaptureIndex(folder, [((r.first_key, r.first_page), r.shard) for r in shards])

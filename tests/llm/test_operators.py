@@ -6,6 +6,7 @@ import heapq
 import json
 import struct
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -556,6 +557,25 @@ def test_warc(spark, monkeypatch, few):
     assert warc.read_pages(warc.archive_pages(spark, none), none).count() == 0
 
 
+def test_warc_writes_long_pages_in_slices_and_no_file_a_shard_beside_the_index(spark, monkeypatch, tmp_path):
+    made = []
+    monkeypatch.setattr(warc, "typed", lambda fn, schema: made.append(fn) or common.typed(fn, schema))
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", "x" * 200 + str(i)) for i in range(9)], "page_id long,url string,html string")
+    index = warc.archive_pages(spark, pages)
+    assert sorted(p.name for p in next(tmp_path.glob("warc-*")).iterdir()) == ["archives"]
+    assert warc.read_pages(index, pages).count() == 9
+    html = "y" * (1 << 19)
+    rows = {"page_id": list(range(120)), "url": ["http://b.org/"] * 120, "digest": ["0"] * 120, "n": [len(html)] * 120, "refers_to": pa.nulls(120, pa.int64()), "html": pa.array([html] * 120)}
+    tracemalloc.start()
+    try:
+        written = sum(b.num_rows for b in made[0](iter([pa.RecordBatch.from_pydict(rows)])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert written == 120 and peak < 32 << 20
+
+
 def test_classifiers(spark, docs):
     r = np.random.default_rng(1)
     words = ["".join(r.choice(list("abcdefgh"), 4)) for _ in range(150)]
