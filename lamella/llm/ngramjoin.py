@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +29,8 @@ from .common import Scratch, join_counted, likely_in, map_texts, slices, typed
 SMALL = 160  # sets up to this size bring all shingles to step 2
 BUCKET_TOKENS = 1 << 17
 BROADCAST_IDS = 1 << 20
-TEXTS = 1 << 20  # bytes of texts that a Python worker hashes at a time; it needs some fifty times as much
+TEXTS = 1 << 20  # bytes of texts that a Python worker hashes at a time
+STRETCH = 1 << 16  # bytes of their words that are hashed at a time
 SLICE = 2 << 20  # bytes of packed shingles that a Python worker handles at a time
 CARRIED = 240  # sets up to this size carry their prefix
 STIR1, STIR2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -92,16 +94,21 @@ def shingles(texts: list[str], words: int) -> list[np.ndarray]:
     data = [t.encode("utf-8", "surrogatepass") + b" " for t in texts]
     b = LOW[np.frombuffer(b"".join(data), np.uint8)]
     inside = ~BLANK[b]
-    edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     cuts = np.concatenate([[0], np.searchsorted(start, np.cumsum([len(d) for d in data]))])
     if not len(start):
         return [np.zeros(0, np.uint64)] * len(texts)
     n = end - start
     begin = np.cumsum(n) - n
-    at = np.arange(begin[-1] + n[-1]) - np.repeat(begin, n)
     power = np.cumprod(np.full(int(n.max()), STIR1 | np.uint64(1), np.uint64))
-    w = stir(np.add.reduceat(ODD[b[inside]] * power[at], begin))
+    letters, sums = b[inside], []
+    # Words in stretches of bytes: what follows takes some thirty times a stretch's bytes.
+    for i, j in pairwise(np.unique([*np.searchsorted(begin, np.arange(0, len(letters), STRETCH)), len(begin)]).tolist()):
+        low, high = begin[i], begin[j - 1] + n[j - 1]
+        at = np.arange(low, high) - np.repeat(begin[i:j], n[i:j])
+        sums.append(np.add.reduceat(ODD[letters[low:high]] * power[at], begin[i:j] - low))
+    w = stir(np.concatenate(sums))
     s = np.zeros(max(0, len(w) - words + 1), np.uint64)
     for j in range(words):
         turn = np.uint64(7 * j + 1)

@@ -533,6 +533,23 @@ def test_whole_sets_of_many(spark, monkeypatch):
     assert got[0] == got[1] and set(got[0]) == {102, 103, 110, 120}
 
 
+def test_shingles_are_hashed_in_stretches(monkeypatch):
+    texts = [x or "" for x in TEXTS] + ["w" * 999 + " b c d e f", " \n"]
+    want = ngramjoin.shingles(texts, 3)
+    for stretch in (1, 7, 64):
+        monkeypatch.setattr(ngramjoin, "STRETCH", stretch, raising=False)
+        assert [x.tolist() for x in ngramjoin.shingles(texts, 3)] == [x.tolist() for x in want]
+    monkeypatch.undo()
+    long = [f"the quick brown fox {i} jumps over a lazy dog " * 20 for i in range(1200)]
+    tracemalloc.start()
+    try:
+        ngramjoin.shingles(long, 5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 26 * sum(map(len, long))
+
+
 @pytest.mark.parametrize("few", [4096, 2])
 def test_warc(spark, monkeypatch, few):
     monkeypatch.setattr(warc, "FEW", few)  # 2: the repeated payload takes the broadcast path
