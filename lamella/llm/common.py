@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ class Scratch:
     def table(self, name: str, df: DataFrame, codec: str = "zstd") -> DataFrame:
         path = f"{self.path}/{name}"
         df.write.option("compression", codec).parquet(path)
+        give_back_driver(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -125,6 +127,24 @@ def give_back() -> None:
         trim(0)
 
 
+def give_back_driver(spark: SparkSession) -> bool:
+    """Hands freed memory of the driver back: that of its Python, and that outside the heap of its JVM, whose planning and
+    compiling leave it in pieces. False where the JVM has no such command (HotSpot on glibc has it from 17.0.9 on)."""
+    give_back()
+    gateway, jvm = spark.sparkContext._gateway, spark._jvm
+    named, new = jvm.java.lang.Class.forName, gateway.new_array
+    kinds, given = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+    try:
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = named(kind)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # The server's own class isn't exported, its interface is.
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def typed(fn: Callable, schema: str) -> Callable:
     """Casts what fn yields to the Arrow types of the DDL schema (empty and all-null columns come out untyped)."""
     want = [ARROW[x.split()[1]] for x in schema.split(",")]

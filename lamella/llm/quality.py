@@ -8,19 +8,20 @@ classes and on repetition figures of the whole text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_texts, slices
+from .common import crc_mod, give_back_driver, map_texts, slices
 
 FOLDS, HELD_OUT = 5, 0
 FIT_ROWS, FIT_CHARS = 4000, 30_000
 HIDDEN = 16
 PART = 512
+COLUMNS = 128
 SLICE = 2 << 20
 THRESHOLD = 0.3
 
@@ -56,7 +57,10 @@ def features(text: str) -> np.ndarray:
 
 
 def features_of(texts: list) -> np.ndarray:
-    return np.stack([features(t or "") for t in texts]) if texts else np.zeros((0, N * N + EXTRA), np.float32)
+    out = np.zeros((len(texts), N * N + EXTRA), np.float32)
+    for i, t in enumerate(texts):
+        out[i] = features(t or "")
+    return out
 
 
 def by_parts(f: Callable, texts: list) -> np.ndarray:
@@ -67,15 +71,25 @@ def by_parts(f: Callable, texts: list) -> np.ndarray:
 class Net:
     """One hidden layer of ReLUs and a sigmoid, on standardised features."""
 
-    def __init__(self, x: np.ndarray, seed: int):
-        r = np.random.default_rng(seed)
-        self.mean, self.scale = x.mean(0), x.std(0)
+    def __init__(self, x: np.ndarray | list[np.ndarray], seed: int):
+        """x: features, or several arrays of them that count as one; a block of columns at a time is copied."""
+        r, parts = np.random.default_rng(seed), x if isinstance(x, list) else [x]
+        columns = parts[0].shape[1]
+        moments = [(b.mean(0), b.std(0)) for b in (np.concatenate([y[:, a : a + COLUMNS] for y in parts]) for a in range(0, columns, COLUMNS))]
+        self.mean, self.scale = (np.concatenate(m) for m in zip(*moments))
         self.scale = np.where(self.scale < 1e-3, 1, self.scale)
-        self.p = [r.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), r.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN).astype(np.float32), np.zeros(1, np.float32)]
+        self.p = [r.normal(0, 1 / np.sqrt(columns), (columns, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), r.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN).astype(np.float32), np.zeros(1, np.float32)]
 
     def ready(self, x):
         return np.clip((x - self.mean) / self.scale, -5, 5).astype(np.float32)
 
+    def ready_all(self, x: np.ndarray, own: bool) -> np.ndarray:
+        """ready(x), PART rows at a time; own: written over x."""
+        out = x if own else np.empty(x.shape, np.float32)
+        for a in range(0, len(x), PART):
+            out[a : a + PART] = self.ready(x[a : a + PART])
+        return out
+
     def logits(self, z):
         h = np.maximum(z @ self.p[0] + self.p[1], 0)
         return h, h @ self.p[2] + self.p[3][0]
@@ -94,13 +108,14 @@ def sigmoid(v):
     return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
 
 
-def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int = 0, steps: int = 1500, batch: int = 256, rate: float = 3e-3, decay: float = 1e-4) -> Net:
-    """Minimises prior * R+(pos) + max(0, R-(unl) - prior * R-(pos)), logistic loss, by Adam.
+def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int = 0, steps: int = 1500, batch: int = 256, rate: float = 3e-3, decay: float = 1e-4, own: bool = False) -> Net:
+    """Minimises prior * R+(pos) + max(0, R-(unl) - prior * R-(pos)), logistic loss, by Adam. own: pos and unl, of
+    float32, may be written over.
 
     Where the negative part of a batch falls below zero, its gradient is reversed, as the non-negative estimator asks.
     """
-    net = Net(np.concatenate([pos, unl]), seed)
-    zp, zu = net.ready(pos), net.ready(unl)
+    net = Net([pos, unl], seed)
+    zp, zu = net.ready_all(pos, own), net.ready_all(unl, own)
     r = np.random.default_rng(seed + 1)
     m, v, t = [np.zeros_like(p) for p in net.p], [np.zeros_like(p) for p in net.p], 0
     while t < steps:
@@ -169,18 +184,18 @@ def threshold_shift(counts: np.ndarray, prior: float) -> float:
     return float(np.log(THRESHOLD / (1 - THRESHOLD)) - min(float(share), widest_split(counts)))
 
 
-def fit(pos: tuple[np.ndarray, np.ndarray], unl: tuple[np.ndarray, np.ndarray], spread: Callable, seed: int = 0) -> tuple[Net, float]:
+def fit(pos: tuple[np.ndarray, np.ndarray], unl: tuple[np.ndarray, np.ndarray], spread: Callable, seed: int = 0, own: bool = False) -> tuple[Net, float]:
     """(model, prior). pos, unl: (features, side 0 or 1) of the rows to fit on; spread(net, side): counts by bin of the
     logits of all unlabelled rows of a side (None: both). A first fit at prior 0.5 on side 0 ranks side 1, which gives
-    the prior."""
+    the prior. own: the features, of float32, may be written over."""
     (xp, sp), (xu, su) = pos, unl
     if min((sp == 0).sum(), (sp == 1).sum(), (su == 0).sum(), (su == 1).sum()) < 2:  # too little to learn from: everything scores the trivial prior
         net = Net(np.zeros((2, N * N + EXTRA), np.float32), seed)
         net.p = [np.zeros_like(p) for p in net.p]
         return net, 0.5
-    half = fit_nnpu(xp[sp == 0], xu[su == 0], 0.5, seed, steps=400)
-    prior = estimate_prior(bin_of(half.logits(half.ready(xp[sp == 1]))[1]), spread(half, 1))
-    net = fit_nnpu(xp, xu, prior, seed)
+    half = fit_nnpu(xp[sp == 0], xu[su == 0], 0.5, seed, steps=400, own=True)
+    prior = estimate_prior(bin_of(half.logits(half.ready_all(xp[sp == 1], True))[1]), spread(half, 1))
+    net = fit_nnpu(xp, xu, prior, seed, own=own)
     net.shift = threshold_shift(spread(net, None), prior)
     return net, prior
 
@@ -209,8 +224,9 @@ def spread_of(documents: DataFrame) -> Callable:
     return spread
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> tuple[list, list]:
-    """(trusted positives, unlabelled) as (text, side), at most rows of at most chars characters each, chosen by a hash of doc_id.
+def training_rows(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Iterator[list]:
+    """Trusted positives, then unlabelled rows, as (text, side), at most rows of at most chars characters each, chosen by a hash
+    of doc_id. The second are read when they are asked for, so that one side's texts are held at a time.
 
     The bounds hold for the rows that gradients are taken of; the prior and the threshold come from all rows.
     """
@@ -219,7 +235,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS,
     # The ids are chosen first (two longs a row), then their texts are read.
     pick = lambda ids: ids.select("doc_id").withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(rows).select("doc_id")
     take = lambda ids: [(r.text, r.side) for r in docs.join(F.broadcast(pick(ids)), "doc_id").orderBy("doc_id").limit(rows).collect()]
-    return take(good), take(docs)
+    yield take(good)
+    yield take(docs)
 
 
 def score_quality(documents: DataFrame, net: Net) -> DataFrame:
@@ -241,7 +258,9 @@ def score_quality(documents: DataFrame, net: Net) -> DataFrame:
 
 def train(documents: DataFrame, labels: DataFrame) -> Net:
     sides = lambda rows: (features_of([t for t, _ in rows]), np.array([s for _, s in rows], np.int64))
-    return fit(*map(sides, training_rows(documents, labels)), spread_of(documents))[0]
+    net = fit(*map(sides, training_rows(documents, labels)), spread_of(documents), own=True)[0]
+    give_back_driver(documents.sparkSession)
+    return net
 
 
 def keep_good(documents: DataFrame, net: Net) -> DataFrame:

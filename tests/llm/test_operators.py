@@ -723,3 +723,26 @@ def test_components(spark):
     out = ngramjoin.components(ngramjoin.Scratch(spark, "test"), "c", spark.createDataFrame(links, "a long, b long"))
     assert {r["sid"]: r["label"] for r in out.collect()} == {i: 0 for i in range(41)} | {i: 200 for i in range(200, 230)}
     assert ngramjoin.components(ngramjoin.Scratch(spark, "test"), "c", spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_driver_trains_on_one_copy_and_gives_memory_back(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    pos, unl = (r.random((1500, quality.N * quality.N + quality.EXTRA), np.float32) for _ in range(2))
+    both = np.concatenate([pos, unl])
+    kept = both.copy()
+    tracemalloc.start()
+    net = quality.fit_nnpu(pos, unl, 0.5, steps=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    mine = [pos.copy(), unl.copy()]
+    before = tracemalloc.get_traced_memory()[0]
+    again = quality.fit_nnpu(*mine, 0.5, steps=1, own=True)
+    own = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert peak < 1.6 * both.nbytes and own < 0.8 * both.nbytes, (peak, own, both.nbytes)
+    assert (np.concatenate([pos, unl]) == kept).all() and (net.mean == both.mean(0)).all() and (net.scale == both.std(0)).all()
+    assert all((x == y).all() for x, y in zip(net.p, again.p))
+    assert common.give_back_driver(spark)
+    calls = []
+    monkeypatch.setattr(common, "give_back_driver", calls.append)
+    assert common.Scratch(spark, "given").table("t", spark.range(3)).count() == 3 and calls == [spark]
