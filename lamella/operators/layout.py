@@ -100,14 +100,13 @@ def compress_indices(patch: DataFrame, period: int = 1024, index_size: int = 4)
     """Parts of a compressed patch of (pos, value): data, runs, offset_bytes (a chunk a run), anchors.
 
     Items are numbered by position; each period of items is a run with the narrowest offsets, and an anchor. The sorted
-    items are kept in Spark's cache (a patch is small beside its column), as all four parts are made of them.
+    items are kept in Spark's cache (a patch is small beside its column), as all four parts are made of them. They are
+    numbered in segments of 4096 positions and not in ranges of a sample, which a second reader might draw otherwise.
     """
-    spark = patch.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = patch.select("pos", "value").repartitionByRange(n, "pos").withColumn("seg", F.spark_partition_id().cast("bigint"))
-    before = exclusive_prefix(ranged.groupBy("seg").agg(F.count(F.lit(1)).alias("total")))
+    rows = patch.select("pos", "value").withColumn("seg", seg(4096, "pos"))
+    before = exclusive_prefix(rows.groupBy("seg").agg(F.count(F.lit(1)).alias("total")))
     p = F.row_number().over(Window.partitionBy("seg").orderBy("pos")) - 1 + F.coalesce("before", F.lit(0))
-    items = ranged.join(before, "seg").select(p.cast("bigint").alias("p"), "pos", "value").withColumn("run", F.expr(f"p div {period}")).persist()
+    items = rows.join(before, "seg").select(p.cast("bigint").alias("p"), "pos", "value").withColumn("run", F.expr(f"p div {period}")).persist()
     runs = items.groupBy("run").agg(F.count(F.lit(1)).alias("length"), F.min("pos").alias("baseline"), F.max("pos").alias("_top"), F.array_sort(F.collect_list("pos")).alias("_all"))
     span = F.col("_top") - F.col("baseline")
     runs = runs.withColumn("offset_bits", F.when(span < 1 << 8, 8).when(span < 1 << 16, 16).when(span < 1 << 32, 32).otherwise(64))

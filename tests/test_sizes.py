@@ -1,8 +1,10 @@
 """Values that larger tables bring: beyond the words and bounds that small tables keep to. Expected rows are the SQL's, by hand."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lamella import queries
+from lamella.operators import layout
 from lamella.types import I16, I32, I64
 
 #: Beyond 2, 3, 4 and 7 bytes; below zero; at the ends of those stretches.
@@ -63,3 +65,15 @@ def test_comparisons_of_large_keys(spark, tmp_path):
     out = queries.QUERIES["functor_cmp"](spark, orders(spark, tmp_path, keys)).orderBy("k").collect()
     assert [r.c_over for r in out] == [int(x + 20 * (1 + k) > 1999) for k, x in enumerate(keys)]
     assert [(r.c_eq, r.c_gt, r.c_odd) for r in out] == [(int(x == k + 1), int(x > k + 1), x % 2) for k, x in enumerate(keys)]
+
+
+def test_patch_items_are_numbered_once(spark):
+    """Of a patch too large for a sample to hold, each item has the number of its place, and comes back at its position."""
+    n = 200_000
+    patch = spark.range(0, n, 1, 8).select((F.col("id") * 3).alias("pos"), (-F.col("id")).alias("value"))
+    parts = layout.compress_indices(patch, 64)
+    assert parts["data"].where(F.col("p") != -F.col("value")).count() == 0 and parts["data"].count() == n
+    target = spark.range(3 * n).select(F.col("id").alias("pos"), F.lit(1).cast("bigint").alias("value"))
+    out = layout.compressed_indices_scatter(target, parts["data"], parts["runs"], parts["offset_bytes"], chunk_bytes=512, anchors=parts["anchors"], period=64)
+    want = F.when(F.col("pos") % 3 == 0, -F.col("pos") / 3).otherwise(1)
+    assert (out.where(F.col("value") == want).count(), out.count()) == (3 * n, 3 * n)
