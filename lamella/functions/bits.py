@@ -215,12 +215,12 @@ def multiply_high(x: Column, y: Column, w: int = 32) -> Column:
     """Upper half of the unsigned product; w is 32 or 64."""
     if w == 32:
         p = mask(x, 32).cast("decimal(20,0)") * mask(y, 32).cast("decimal(20,0)")
-        return F.floor(p / F.lit(1 << 32).cast("decimal(20,0)")).cast("bigint")
+        return F.call_function("div", p, F.lit(1 << 32).cast("decimal(20,0)"))
     # Halves of 32 bits: all sums stay under 2^64, added in pieces.
     a, b, c, d = shift_right(x, 32), modulo_power(x, 32), shift_right(y, 32), modulo_power(y, 32)
     mul = lambda p, q: (p.cast("decimal(20,0)") * q.cast("decimal(20,0)")).cast("decimal(38,0)")
     k = F.lit(1 << 32).cast("decimal(38,0)")
-    cut = lambda v: F.floor(v / k).cast("decimal(38,0)")
+    cut = lambda v: F.call_function("div", v, k).cast("decimal(38,0)")  # noqa: E731  a quotient by / is rounded to 6 places
     low = cut(mul(b, d)) + F.pmod(mul(a, d), k) + F.pmod(mul(b, c), k)
     high = mul(a, c) + cut(mul(a, d)) + cut(mul(b, c)) + cut(low)
     two64, two63 = (F.lit(str(1 << n)).cast("decimal(38,0)") for n in (64, 63))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella import queries
+from lamella.functions import bits as B
 from lamella.operators import layout
 from lamella.types import I16, I32, I64
 
@@ -77,3 +78,14 @@ def test_patch_items_are_numbered_once(spark):
     out = layout.compressed_indices_scatter(target, parts["data"], parts["runs"], parts["offset_bytes"], chunk_bytes=512, anchors=parts["anchors"], period=64)
     want = F.when(F.col("pos") % 3 == 0, -F.col("pos") / 3).otherwise(1)
     assert (out.where(F.col("value") == want).count(), out.count()) == (3 * n, 3 * n)
+
+
+def test_upper_halves_of_products_are_not_rounded(spark):
+    """Low halves of all ones: their share of a unit is nearer to 1 than six decimal places tell."""
+    high = (1 << 64) - 1
+    pairs = [(high, 1), (high, high), ((1 << 63) + 1, (1 << 33) - 1), ((1 << 32) - 1, (1 << 32) + 1), (0xFFFFFFFF00000001, 0xFFFFFFFF), (1 << 32, (1 << 32) - 1), (0, high), (1, 0xFFFFFFFF)]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    rows = spark.createDataFrame([(k, signed(x), signed(y)) for k, (x, y) in enumerate(pairs)], "k int, x long, y long")
+    got = rows.select("k", B.multiply_high(F.col("x"), F.col("y"), 64).alias("w"), B.multiply_high(F.col("x"), F.col("y"), 32).alias("n")).orderBy("k").collect()
+    low = 0xFFFFFFFF
+    assert [(r.w, r.n) for r in got] == [(signed(x * y >> 64), (x & low) * (y & low) >> 32) for x, y in pairs]
